@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brinewell.llm import byte_bpe, contamination, heavy_hitters, near_duplicates, site_lines, splitting
+from brinewell.llm import boilerplate, byte_bpe, contamination, heavy_hitters, mojibake, near_duplicates, residue, site_lines, splitting
 from brinewell.session import load
 
 
@@ -33,6 +33,30 @@ def p2_intervals(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("value").alias("query_text"), "count", ((F.col("low") <= F.col("count")) & (F.col("count") <= F.col("high"))).alias("held"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.furniture_lines(load(spark, d, "page_items"))
+
+
+def p3_articles(spark: SparkSession, d: str) -> DataFrame:
+    return boilerplate.articles(load(spark, d, "page_items"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    return residue.find_residue(load(spark, d, "page_items"))
+
+
+def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
+    return residue.without_residue(load(spark, d, "page_items").select("item_id", "url", "normalized_url", "title", "content", "raw_html")).select("item_id", "title", "content")
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.garbled_fields(load(spark, d, "page_items"))[0].select("item_id", "field_name").distinct()
+
+
+def p5_restored(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.restored_fields(load(spark, d, "page_items")).select("item_id", "field_name", "chain", "text", "whole")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return site_lines.frequent_site_lines(load(spark, d, "page_items"), load(spark, d, "pages")).select("source_site", "line")
 
@@ -54,5 +78,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_intervals, p6_found, p6_cleaned, p8_ids, p9_found, p10_pieces)
+    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_intervals, p3_found, p3_articles, p4_found, p4_cleaned, p5_found, p5_restored, p6_found, p6_cleaned, p8_ids, p9_found, p10_pieces)
 }
