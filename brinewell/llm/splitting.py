@@ -59,16 +59,23 @@ def boundaries(text: str) -> dict[int, int]:
 
 def token_boundaries(text: str, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For every token index 0..n: strength of a cut before it (-1 inside a character), and its character."""
-    lengths = np.fromiter((len(c.encode("utf-8", "replace")) for c in text), np.int64, len(text)) if not text.isascii() else np.ones(len(text), np.int64)
-    char_at = np.r_[0, np.cumsum(lengths)]
-    byte_at = np.r_[0, np.cumsum(sizes)]
+    if text.isascii():
+        char_at = np.arange(len(text) + 1)
+    else:
+        code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+        char_at = np.zeros(len(code) + 1, np.int64)
+        np.cumsum(1 + (code > 0x7F) + (code > 0x7FF) + (code > 0xFFFF), out=char_at[1:])
+    byte_at = np.zeros(len(sizes) + 1, np.int64)
+    np.cumsum(sizes, out=byte_at[1:])
     char = np.searchsorted(char_at, byte_at, "right") - 1
-    whole = char_at[char] == byte_at
-    strength = np.where(whole, NOWHERE, -1)
-    for offset, s in boundaries(text).items():
-        t = np.searchsorted(byte_at, char_at[offset])
-        if t < len(byte_at) and byte_at[t] == char_at[offset]:
-            strength[t] = max(strength[t], s)
+    strength = np.where(char_at[char] == byte_at, NOWHERE, -1)
+    found = boundaries(text)
+    if found:
+        offset = char_at[np.fromiter(found, np.int64, len(found))]
+        value = np.fromiter(found.values(), np.int64, len(found))
+        t = np.searchsorted(byte_at, offset)
+        there = byte_at[np.minimum(t, len(sizes))] == offset
+        np.maximum.at(strength, t[there], value[there])
     return strength, char
 
 
@@ -113,24 +120,37 @@ def plan(strength: np.ndarray, limit: int, overlap: int, extra: int = 0) -> list
         p += 1
 
 
-def split_text(text: str, encoder: Encoder, limit: int, overlap: int) -> list[tuple[int, int, int, int, int, int, int]]:
-    """(piece, pieces, start, end, strength, first character, character after the last)."""
-    ids, _ = encoder.encode([text])
-    if len(ids) <= limit:
-        return []
-    strength, char = token_boundaries(text, encoder.size[ids])
-    for extra in range(1 + len(ids)):
-        pieces = plan(strength, limit, overlap, extra)
-        spans = [(int(char[a]), int(char[b]) + int(strength[b] < 0)) for a, b, _ in pieces]
+Piece = tuple[int, int, int, int, int, int, int]
+
+
+def split_texts(texts: list[str], encoder: Encoder, limit: int, overlap: int) -> list[list[Piece]]:
+    """For each text its pieces: (piece, pieces, start, end, strength, first character, character after the last)."""
+    ids, counts = encoder.encode(texts)
+    ends = np.cumsum(counts)
+    out: list[list[Piece]] = [[] for _ in texts]
+    marks = {}
+    for i in np.flatnonzero(counts > limit):
+        marks[i] = token_boundaries(texts[i], encoder.size[ids[ends[i] - counts[i] : ends[i]]])
+    todo = {i: 0 for i in marks}
+    while todo:
+        spans, of = {}, []
+        for i, extra in todo.items():
+            strength, char = marks[i]
+            pieces = plan(strength, limit, overlap, extra)
+            spans[i] = (pieces, [(int(char[a]), int(char[b]) + int(strength[b] < 0)) for a, b, _ in pieces])
+            of += [i] * len(pieces)
         # a piece that starts inside a character holds the whole character; read by itself it must keep the limit
-        _, counts = encoder.encode([text[x:y] for x, y in spans])
-        if (counts <= limit).all():
-            break
-    return [(i + 1, len(pieces), a, b, s, x, y) for i, ((a, b, s), (x, y)) in enumerate(zip(pieces, spans))]
+        _, sizes = encoder.encode([texts[i][x:y] for i, (_, where) in spans.items() for x, y in where])
+        over = {of[k] for k in np.flatnonzero(sizes > limit)}
+        for i, (pieces, where) in spans.items():
+            if i not in over:
+                out[i] = [(k + 1, len(pieces), a, b, s, x, y) for k, ((a, b, s), (x, y)) in enumerate(zip(pieces, where))]
+        todo = {i: todo[i] + 1 for i in over}
+    return out
 
 
 def split_long_texts(
-    df: DataFrame, id_col: str, text_col: str, limit: int = 2048, overlap: int = 64, vocabulary: str = DEFAULT_VOCABULARY, pattern: str = PATTERN
+    df: DataFrame, id_col: str, text_col: str, limit: int = 2048, overlap: int = 64, vocabulary: str = DEFAULT_VOCABULARY, pattern: str = PATTERN, rows_at_once: int = 500
 ) -> DataFrame:
     """Pieces of the texts longer than limit tokens.
 
@@ -148,14 +168,13 @@ def split_long_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = worker_encoder(shared)
         for batch in batches:
-            rows: list[tuple] = []
-            for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                for no, of, a, b, s, x, y in split_text(text, encoder, limit, overlap):
-                    rows.append((i, no, of, a, b, b - a, NAMES[s], text[x:y]))
-                if len(rows) > 2000:
-                    yield _pieces(rows)
-                    rows = []
-            yield _pieces(rows)
+            for at in range(0, batch.num_rows, rows_at_once):
+                part = batch.slice(at, rows_at_once)
+                texts = part.column(1).to_pylist()
+                rows = []
+                for i, text, pieces in zip(part.column(0).to_pylist(), texts, split_texts(texts, encoder, limit, overlap)):
+                    rows += [(i, no, of, a, b, b - a, NAMES[s], text[x:y]) for no, of, a, b, s, x, y in pieces]
+                yield _pieces(rows)
 
     out = (
         df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
