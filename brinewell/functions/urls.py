@@ -49,7 +49,15 @@ def in_hosts(url: Column, hosts: list[str], strip_www: bool = True) -> Column:
 
 
 #: File endings that are not pages (fixed values).
-SKIP_EXTENSIONS = ("jpg", "jpeg", "png", "gif", "bmp", "svg", "ico", "css", "js", "mp3", "mp4", "avi", "wmv", "flv", "zip", "rar", "7z", "gz", "tar", "exe", "apk")
+SKIP_EXTENSIONS = (
+    "css", "js", "png", "jpg", "jpeg", "gif", "svg", "ico", "woff2?", "ttf", "eot", "mp4", "mp3",
+    "webp", "bmp", "pdf", "docx?", "xlsx?", "pptx?", "zip", "rar", "7z", "tar", "gz",
+)
+#: Path steps that lead to no article (fixed values).
+SKIP_STEPS = (
+    "search", "login", "logout", "register", "user", "admin", "wp-admin", "wp-content/(?!uploads)", "wp-json", "api",
+    "feed", "rss", "comment", "reply", "trackback", "tag/", "category/", "author/", "page/\\d+", "date/",
+)
 #: File endings of attachments (fixed values).
 ATTACHMENT_EXTENSIONS = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "rar")
 
@@ -59,9 +67,9 @@ def has_extension(url: Column, extensions: tuple[str, ...]) -> Column:
     return url.rlike("(?i)\\.(" + "|".join(extensions) + ")$")
 
 
-def skipped_path(url: Column, patterns: tuple[str, ...] = ("/search", "/login", "/logout", "/register", "page/\\d+", "\\$\\[", "nextcid=")) -> Column:
-    """The address matches one of the crawl's skip patterns, in any case."""
-    return url.rlike("(?i)(" + "|".join(patterns) + ")")
+def skipped_path(url: Column) -> Column:
+    """The address has a skipped path step, an unfilled '$[' or 'nextcid=', in any case."""
+    return url.rlike("(?i)/(" + "|".join(SKIP_STEPS) + ")\\b|\\$\\[|nextcid=")
 
 
 def crawlable_href(href: Column) -> Column:
