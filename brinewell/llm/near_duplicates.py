@@ -8,10 +8,13 @@ least s bounds that difference by (1-s)/(1+s) of the summed sizes; split into bl
 two such sketches agree in many whole blocks. Blocks are joined by equality, within a
 band of set sizes, and every candidate is verified on the whole texts.
 
-Blocks with fewer than ``min_bits`` tokens say nothing and make no key. A pair at
-exactly s = 0.7 agrees in each of the 128 blocks with a probability of 0.10 to 0.16
-(tokens per block 3 to 6), so it shares no key with a probability below 2e-6; at 0.75
-below 1e-9. The hash functions are fixed, so results don't vary between runs.
+Blocks with fewer than b tokens say nothing and make no key; a size band's sketches have
+b to 2b tokens a block on average. Candidates agree in at least three blocks. The number of
+blocks is chosen so that a pair at exactly the threshold agrees in 20 of them on average
+at the worst place of a band (``plan_blocks``): it is missed with a probability of
+221 * exp(-20) = 5e-7, pairs above the threshold with less. Chance agreements fall
+steeply with b, so b grows with the logarithm of the number of rows; what is found does
+not depend on it. The hash functions are fixed, so results don't vary between runs.
 
 Texts with equal token sets share one fingerprint and are joined once, as one class;
 a group of copies never makes pairs before the final expansion.
@@ -19,6 +22,7 @@ a group of copies never makes pairs before the final expansion.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 from brinewell.session import cut_lineage
 
 _U = np.uint64
+#: Blocks in which candidates agree at least.
+AGREE = 3
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -66,9 +72,20 @@ def fingerprint(h: np.ndarray) -> int:
     return int(_mix(whole).view(np.int64)[0])
 
 
-def _block_keys(h: np.ndarray, band: int, blocks: int, min_bits: int, bits: int) -> np.ndarray:
+def plan_blocks(similarity: float, per_block: int, expected: float = 20.0) -> int:
+    """Blocks in which a pair at the threshold agrees ``expected`` times on average, at its worst size."""
+
+    def agree(t: float) -> float:
+        differ, shared = 2 * (1 - similarity) / (1 + similarity) * t, 2 * similarity / (1 + similarity) * t
+        few = sum(math.exp(-shared) * shared**k / math.factorial(k) for k in range(per_block))
+        return math.exp(-differ) * (1 - few)
+
+    return math.ceil(expected / min(agree(per_block * (1 + x / 8)) for x in range(9)))
+
+
+def _block_keys(h: np.ndarray, band: int, blocks: int, per_block: int, bits: int = 256) -> np.ndarray:
     """Keys of the informative blocks of the sketch used in ``band`` (sizes 2**band to 2**(band+1))."""
-    m = max(1, (1 << band) // 3)
+    m = max(1, (1 << band) // per_block)
     out = []
     for rnd in range(-(-blocks // m)):
         g = h if rnd == 0 else _mix(h + _U((rnd * 0x9E3779B97F4A7C15) & (2**64 - 1)))
@@ -86,33 +103,36 @@ def _block_keys(h: np.ndarray, band: int, blocks: int, min_bits: int, bits: int)
         start = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
         size = np.diff(np.r_[start, len(b)])
         word = np.bitwise_xor.reduceat(c, start)
-        full = size >= min_bits
+        full = size >= per_block
         where = b[start[full]].astype(np.uint64) + _U((band << 40) | (rnd << 32))
         out.append(_mix(word[full] ^ _mix(where + _U(0x2545F4914F6CDD1D))))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
-def sketch_keys(h: np.ndarray, similarity: float, blocks: int = 128, min_bits: int = 3, bits: int = 256) -> np.ndarray:
+def sketch_keys(h: np.ndarray, similarity: float, per_block: int = 3, blocks: int | None = None) -> np.ndarray:
     """Join keys of a token set: of its own size band and, if a partner may be in it, of the next."""
     n = len(h)
     if not n:
         return np.zeros(0, np.uint64)
+    blocks = blocks or plan_blocks(similarity, per_block)
     band = n.bit_length() - 1
-    keys = [_block_keys(h, band, blocks, min_bits, bits)]
+    keys = [_block_keys(h, band, blocks, per_block)]
     if n / similarity >= 1 << (band + 1):
-        keys.append(_block_keys(h, band + 1, blocks, min_bits, bits))
-    if n < 64:  # too few tokens for informative blocks: single tokens are keys, which misses no pair
-        keys.append(_mix(h ^ _U(0xD6E8FEB86659FD93)))
+        keys.append(_block_keys(h, band + 1, blocks, per_block))
+    if n < 64:  # too few tokens for independent blocks: pairs of a token and a salt are keys, three a token, which misses no pair
+        keys += [_mix(h ^ _U(x)) for x in (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)]
     return np.concatenate(keys)
 
 
-def _sketch_batches(q: int, similarity: float):
+def _sketch_batches(q: int, similarity: float, per_block: int):
+    blocks = plan_blocks(similarity, per_block)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, fps, sizes, lens, keys = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = token_hashes(text, q)
-                k = sketch_keys(h, similarity)
+                k = sketch_keys(h, similarity, per_block, blocks)
                 ids.append(i)
                 fps.append(fingerprint(h))
                 sizes.append(len(h))
@@ -167,14 +187,16 @@ def _classes(df: DataFrame, id_col: str, text_col: str, similarity: float, q: in
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(
         F.col("id").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= min_chars)
     )
-    sketched = texts.mapInArrow(_sketch_batches(q, similarity), "id long, fp long, n int, keys array<long>")
+    # chance agreements of unlike texts grow with the rows: a token more a block for every eightfold
+    per_block = 3 + max(0, math.ceil(math.log(max(1, df.count()) / 200_000, 8)))
+    sketched = texts.mapInArrow(_sketch_batches(q, similarity, per_block), "id long, fp long, n int, keys array<long>")
     sketched = cut_lineage(sketched.where("n > 0"))
     members = sketched.select("id", "fp").distinct()
     keys = sketched.select(F.explode("keys").alias("key"), "fp")
     # one exchange by key serves the removal of copies and both sides of the join
     keys = keys.repartition("key").distinct()
     a, b = keys.select("key", F.col("fp").alias("fp_a")), keys.select("key", F.col("fp").alias("fp_b"))
-    candidates = a.join(b, "key").where("fp_a < fp_b").select("fp_a", "fp_b").distinct()
+    candidates = a.join(b, "key").where("fp_a < fp_b").groupBy("fp_a", "fp_b").agg(F.count("*").alias("agree")).where(F.col("agree") >= AGREE).drop("agree")
     candidates = cut_lineage(candidates)
     wanted = candidates.select(F.explode(F.array("fp_a", "fp_b")).alias("fp")).distinct()
     chosen = members.groupBy("fp").agg(F.min("id").alias("id")).join(wanted, "fp", "left_semi")
