@@ -35,6 +35,8 @@ from brinewell.session import cut_lineage
 _U = np.uint64
 #: Blocks in which candidates agree at least.
 AGREE = 3
+#: Copies of one text that are paired with all of its copies in one task.
+COPIES_A_SLICE = 2000
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -220,16 +222,19 @@ def near_duplicate_pairs(
     repeated with its id counts once. Identical texts are pairs. Other columns are ignored.
     """
     members, links = _classes(df, id_col, text_col, similarity, q, min_chars)
-    a = members.select(F.col("id").alias("x"), F.col("fp").alias("fp_a"))
+    # a class of many copies is cut into slices, so that no task holds all of its pairs
+    slices = members.groupBy("fp").agg(F.ceil(F.count("*") / F.lit(COPIES_A_SLICE)).cast("int").alias("s"))
+    members = members.join(slices, "fp")
+    a = members.select(F.col("id").alias("x"), F.col("fp").alias("fp_a"), F.pmod(F.xxhash64("id"), F.col("s").cast("long")).cast("int").alias("slice"))
     b = members.select(F.col("id").alias("y"), F.col("fp").alias("fp_b"))
+    every = members.select(F.col("id").alias("y"), F.col("fp").alias("fp_a"), F.explode(F.sequence(F.lit(0), F.col("s") - 1)).alias("slice"))
     between = links.select("fp_a", "fp_b").join(a, "fp_a").join(b, "fp_b")
-    within = a.join(b, F.col("fp_a") == F.col("fp_b")).where("x < y")
+    within = a.join(every, ["fp_a", "slice"]).where("x < y")
     return (
         between.select("x", "y")
         .unionByName(within.select("x", "y"))
         .select(F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b"))
         .where("id_a < id_b")
-        .distinct()
     )
 
 
