@@ -119,3 +119,14 @@ def sanitize(text: Column) -> Column:
 def min_max(x: Column, low: Column, high: Column) -> Column:
     """(x - low) / (high - low), 0 where all are equal."""
     return F.coalesce((x - low) / F.nullif(high - low, F.lit(0.0)), F.lit(0.0))
+
+
+def json_list(c: Column) -> Column:
+    """A JSON array of texts as an array; anything else, null and broken JSON are an empty one."""
+    read = F.from_json(c, "array<string>", {"mode": "PERMISSIVE"})
+    return F.coalesce(F.when(F.trim(c).startswith("["), read), F.array().cast("array<string>"))
+
+
+def first_occurrences(items: Column) -> Column:
+    """An array without later repetitions, in order; empty for null."""
+    return F.array_distinct(F.coalesce(items, F.array().cast("array<string>")))

@@ -83,3 +83,8 @@ def site_yield(items: DataFrame, site: str = "source_site") -> DataFrame:
 def plan_batches(batches: DataFrame) -> DataFrame:
     """One row: number of crawl batches, distinct sites, sum of page caps. batches: name, source_site, max_pages."""
     return batches.agg(F.count("*").alias("batches"), F.count_distinct("source_site").alias("sites"), F.coalesce(F.sum("max_pages"), F.lit(0)).alias("max_pages"))
+
+
+def write_stats(stats: DataFrame, path: str) -> None:
+    """The one row of statistics as a JSON file."""
+    stats.coalesce(1).write.mode("overwrite").json(path)

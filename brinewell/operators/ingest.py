@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brinewell.session import cut_lineage
+
 SKIP_INVALID, INSERT, UPDATE, SKIP = "skip_invalid", "insert", "update", "skip"
 
 
@@ -18,33 +20,60 @@ def _blank(c: Column) -> Column:
     return c.isNull() | (F.trim(c) == "")
 
 
-def decide(incoming: DataFrame, stored: DataFrame, key: str = "normalized_url", hash_col: str = "content_hash", order: str = "line_no", force: bool = False) -> DataFrame:
+def _previous_in_key(rows: DataFrame, order: str, hash_col: str, heavy_rows: int) -> DataFrame:
+    """rows (with __key) and __before, the hash of the row before of the same key, and __first.
+
+    A key with more than ``heavy_rows`` rows is cut into ranges of its order: inside a range the row
+    before is a window's, at a range's start it is the last row of the range before. So no task holds
+    such a key, however large it is.
+    """
+    h = F.coalesce(hash_col, F.lit(""))
+    # rows without a key are spread: they follow none
+    group = F.coalesce("__key", F.concat(F.lit("\u0000"), F.col(order).cast("string")))
+    heavy = rows.where("__key is not null").groupBy("__key").agg(F.count("*").alias("n")).where(F.col("n") > heavy_rows).select("__key")
+    heavy = cut_lineage(heavy)
+
+    def plain(df: DataFrame) -> DataFrame:
+        w = Window.partitionBy(group).orderBy(order, hash_col)
+        return df.withColumn("__before", F.lag(h).over(w)).withColumn("__first", F.row_number().over(w) == 1)
+
+    if heavy.isEmpty():
+        return plain(rows)
+    light = plain(rows.join(heavy, "__key", "left_anti"))
+    large = rows.join(heavy, "__key", "left_semi").repartitionByRange("__key", order).withColumn("__part", F.spark_partition_id())
+    large = cut_lineage(large)
+    w = Window.partitionBy("__key", "__part").orderBy(order, hash_col)
+    inner = large.withColumn("__lag", F.lag(h).over(w)).withColumn("__start", F.row_number().over(w) == 1)
+    # one row for each key and range
+    ends = large.groupBy("__key", "__part").agg(F.max_by(h, F.struct(order, hash_col)).alias("__last"))
+    ends = ends.withColumn("__carry", F.lag("__last").over(Window.partitionBy("__key").orderBy("__part"))).drop("__last")
+    joined = inner.join(ends, ["__key", "__part"])
+    large = joined.withColumn("__before", F.when(F.col("__start"), F.col("__carry")).otherwise(F.col("__lag"))).withColumn("__first", F.col("__start") & F.col("__carry").isNull())
+    return light.unionByName(large.select(*light.columns))
+
+
+def decide(incoming: DataFrame, stored: DataFrame, key: str = "normalized_url", hash_col: str = "content_hash", order: str = "line_no", force: bool = False, heavy_rows: int = 1_000_000) -> DataFrame:
     """incoming with ``action``: skip_invalid for a blank key, insert for a new key, skip for an unchanged hash, else update.
 
-    Equal order values are taken by hash. ``force`` updates unchanged rows too. A null hash differs from any other.
+    Equal order values are taken by hash. ``force`` updates unchanged rows too. A null hash counts as ''.
     """
     known = stored.where(~_blank(F.col(key))).groupBy(F.col(key).alias("__k")).agg(F.max(F.struct(F.coalesce(hash_col, F.lit("")).alias("h"))).alias("__stored"))
     rows = incoming.withColumn("__key", F.when(~_blank(F.col(key)), F.col(key)))
-    joined = rows.join(known, F.col("__key") == F.col("__k"), "left")
-    # rows without a key are spread: they follow none
-    w = Window.partitionBy(F.coalesce("__key", F.concat(F.lit("\u0000"), F.col(order).cast("string")))).orderBy(order, hash_col)
-    before = F.lag(F.coalesce(hash_col, F.lit(""))).over(w)
-    first = F.row_number().over(w) == 1
-    previous = F.when(first, F.col("__stored.h")).otherwise(before)
-    return joined.withColumn("__previous", previous).withColumn("__first", first).select(
+    ordered = _previous_in_key(rows, order, hash_col, heavy_rows)
+    # only a key's first row looks at the store, so the join meets every key once
+    first = ordered.where("__first").join(known, F.col("__key") == F.col("__k"), "left")
+    later = ordered.where("not __first")
+    same = lambda previous: (F.coalesce(hash_col, F.lit("")) == previous) & F.lit(not force)
+    return first.select(
         *incoming.columns,
-        F.when(F.col("__key").isNull(), SKIP_INVALID)
-        .when(F.col("__first") & F.col("__k").isNull(), INSERT)
-        .when((F.coalesce(hash_col, F.lit("")) == F.col("__previous")) & F.lit(not force), SKIP)
-        .otherwise(UPDATE)
-        .alias("action"),
-    )
+        F.when(F.col("__key").isNull(), SKIP_INVALID).when(F.col("__k").isNull(), INSERT).when(same(F.col("__stored.h")), SKIP).otherwise(UPDATE).alias("action"),
+    ).unionByName(later.select(*incoming.columns, F.when(same(F.col("__before")), SKIP).otherwise(UPDATE).alias("action")))
 
 
 def last_write(decided: DataFrame, key: str = "normalized_url", order: str = "line_no", hash_col: str = "content_hash") -> DataFrame:
-    """The last row of each key that isn't skipped."""
-    w = Window.partitionBy(key).orderBy(F.desc(order), F.desc(hash_col))
-    return decided.where(F.col("action").isin(INSERT, UPDATE)).withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")
+    """The last row of each key that isn't skipped: an aggregation, combined before the shuffle."""
+    whole = F.struct(*[F.col(c) for c in decided.columns])
+    return decided.where(F.col("action").isin(INSERT, UPDATE)).groupBy(F.col(key).alias("__g")).agg(F.max_by(whole, F.struct(order, hash_col)).alias("x")).select("x.*")
 
 
 def assign_ids(new_rows: DataFrame, stored: DataFrame, id_col: str = "id", order: str = "first_line") -> DataFrame:

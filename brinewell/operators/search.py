@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brinewell.functions.text import query_terms, tokenize_in_order
+from brinewell.functions.text import highlight, query_terms, sanitize, snippet, tokenize_in_order
 from brinewell.operators.index import K1, B
 
 PAGE_BOOSTS = {"title": 4.0, "anchor_text": 2.0, "content": 1.0}
@@ -159,3 +159,19 @@ def get_many(docs: DataFrame, candidates: DataFrame, id_col: str, columns: list[
     """Candidates with columns of their documents, '' where a document or value is missing."""
     found = docs.select(id_col, *columns)
     return candidates.join(found, id_col, "left").select(*candidates.columns, *[F.coalesce(c, F.lit("")).alias(c) for c in columns])
+
+
+def page_result(hits: DataFrame, q: str) -> DataFrame:
+    """Result rows of pages: highlighted title, snippet, address, site, category, score; the text itself is left out."""
+    terms = query_terms(q, in_order=True)
+    return hits.select(
+        "page_id", sanitize(highlight(F.col("title"), terms)).alias("title"), "url", sanitize(snippet(F.col("content"), terms)).alias("snippet"), "source_site", "category", "score"
+    )
+
+
+def document_result(hits: DataFrame, q: str) -> DataFrame:
+    """Result rows of attachments: highlighted file name, snippet of the text, place and kind, score."""
+    terms = query_terms(q, in_order=True)
+    return hits.select(
+        "attachment_id", sanitize(highlight(F.col("file_name"), terms)).alias("file_name"), "file_url", "file_type", sanitize(snippet(F.col("file_text"), terms)).alias("snippet"), "parent_page_id", "parent_title", "score"
+    )

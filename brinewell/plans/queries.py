@@ -200,6 +200,18 @@ def snippets(spark, d):
     return page_docs(spark, d).select("page_id", text.snippet(F.col("content"), ["风险评估", "workshop"]).alias("snippet"))
 
 
+@query
+def page_results(spark, d):
+    hits = search.page_of(search.multi_match(page_docs(spark, d), Q, search.PAGE_BOOSTS), "page_id", 1, 10)
+    return search.page_result(hits, Q).withColumn("score", F.round("score", 6))
+
+
+@query
+def document_results(spark, d):
+    hits = search.page_of(search.multi_match(attachment_docs(spark, d), Q, search.DOCUMENT_BOOSTS), "attachment_id", 1, 10)
+    return search.document_result(hits, Q).withColumn("score", F.round("score", 6))
+
+
 # --- ranking --------------------------------------------------------------------------------
 
 

@@ -136,3 +136,9 @@ def test_min_max(spark, values, want):
     w = Window.partitionBy(F.lit(1))
     df = spark.createDataFrame([(v,) for v in values], "v double")
     assert sorted(r[0] for r in df.select(text.min_max(F.col("v"), F.min("v").over(w), F.max("v").over(w))).collect()) == sorted(want)
+
+
+def test_json_list(spark):
+    for value, want in (('["a", "b"]', ["a", "b"]), ("{}", []), ("[", []), (None, []), ("x", [])):
+        assert one(spark, value, text.json_list) == want
+    assert one(spark, ["a", "b", "a"], text.first_occurrences, "array<string>") == ["a", "b"]

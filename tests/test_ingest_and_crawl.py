@@ -27,6 +27,14 @@ def test_decide(spark):
     assert decided(spark, [], [("u", "h0")]) == {}
 
 
+def test_heavy_keys_are_cut(spark):
+    rows = [(i, "hot" if i % 3 else f"k{i % 7}", f"h{(i * 7) % 5 // 2}") for i in range(400)] + [(500, "", "h"), (501, None, None)]
+    stored = spark.createDataFrame([("hot", "h0"), ("k3", "h1")], "normalized_url string, content_hash string")
+    plain = ingest.decide(batch(spark, rows), stored)
+    cut = ingest.decide(batch(spark, rows).repartition(4), stored, heavy_rows=50)
+    assert {(r["line_no"], r["action"]) for r in plain.collect()} == {(r["line_no"], r["action"]) for r in cut.collect()} and cut.count() == 402
+
+
 def test_upsert_is_idempotent(spark):
     stored = spark.createDataFrame([("u", "old", "h0"), ("w", "kept", "h9")], "normalized_url string, title string, content_hash string")
     rows = spark.createDataFrame([(1, "u", None, "h1"), (2, "v", None, "h2"), (3, "u", "new", "h3")], "line_no long, normalized_url string, title string, content_hash string")
