@@ -2,7 +2,8 @@
 
 Sizes are tokens of a public tokenizer. The least number of pieces p is computed, p
 equally long targets are placed, and every target is moved to the strongest boundary
-nearby: a chapter's start, a paragraph's end, a sentence's end. A piece holds at most
+nearby: a chapter's start, a paragraph's end, a sentence's end; only a piece that has none
+of these ends at a clause or, failing that, at a character. A piece holds at most
 ``limit`` tokens and begins ``overlap`` tokens before the end of the one before. If some
 piece would break the limit, p grows by one and the targets are placed anew.
 """
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from brinewell.llm.byte_bpe import DEFAULT_VOCABULARY, PATTERN, Encoder, share_vocabulary, worker_encoder
 
-CHAPTER, PARAGRAPH, SENTENCE, NOWHERE, END = 3, 2, 1, 0, 4
-NAMES = {CHAPTER: "chapter", PARAGRAPH: "paragraph", SENTENCE: "sentence", NOWHERE: "none", END: "end"}
+NOWHERE, CLAUSE, SENTENCE, PARAGRAPH, CHAPTER, END = range(6)
+NAMES = {CHAPTER: "chapter", PARAGRAPH: "paragraph", SENTENCE: "sentence", CLAUSE: "clause", NOWHERE: "none", END: "end"}
 
 #: A heading: its line's start is a chapter's boundary.
 _HEADING = regex.compile(
@@ -31,9 +32,12 @@ _PARAGRAPH = regex.compile(r"(?:\r\n|\r|\n| | |\u0085)\s*")
 _SENTENCE = regex.compile(r"(?:[。！？!?…；]+[”’」』）)\"']*|\.(?=[\s”’\"')])[”’\"')]*)[ \t　]*")
 
 
+_CLAUSE = regex.compile(r"[;,:，、：](?=\D)[ \t　]*")
+
+
 def boundaries(text: str) -> dict[int, int]:
     """Character offset -> strength of the boundaries inside a text."""
-    out: dict[int, int] = {}
+    out: dict[int, int] = dict.fromkeys((m.end() for m in _CLAUSE.finditer(text)), CLAUSE)
     for m in _SENTENCE.finditer(text):
         out[m.end()] = SENTENCE
         if m.end() != (e := len(text[m.start() : m.end()].rstrip(" \t　")) + m.start()):
@@ -99,13 +103,14 @@ def plan(strength: np.ndarray, limit: int, overlap: int, extra: int = 0) -> list
             if low > top:
                 break
             cut = None
-            for reach in (slack, n):
+            # a strong boundary nearby, else one anywhere in reach, else a clause's end, else a character's
+            for reach, least in ((slack, SENTENCE), (n, SENTENCE), (slack, CLAUSE), (n, CLAUSE)):
                 a, b = max(low, target - reach), min(top, target + reach)
                 if a > b:
                     continue
                 window = strength[a : b + 1]
                 best = int(window.max())
-                if best > NOWHERE:
+                if best >= least:
                     at = np.flatnonzero(window == best) + a
                     cut = int(at[np.argmin(np.abs(at - target))])
                     break
@@ -156,7 +161,7 @@ def split_long_texts(
 
     (id, piece_no, n_pieces, start_token, end_token, n_tokens, boundary, text): piece_no counts
     from 1; tokens are those of the whole text, start included, end excluded; ``boundary`` names
-    where the piece ends (chapter, paragraph, sentence, none if the piece has no such place, end).
+    where the piece ends (chapter, paragraph, sentence; clause or none if the piece has no such place; end).
     A start within a character's bytes gives the text from that character on. Null, empty and
     shorter texts have no pieces; repeated rows repeat theirs. A text of at most ``limit`` bytes
     can't be longer and isn't encoded.
