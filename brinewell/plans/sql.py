@@ -170,12 +170,12 @@ SELECT query_type, cnt, round(100.0 * cnt / sum(cnt) OVER ()) AS pct FROM c""",
 SELECT d, cnt, round(100.0 * cnt / greatest(max(cnt) OVER (), 1)) AS bar FROM c""",
     "click_through": """WITH l AS (SELECT id, min(query_type) AS query_type FROM query_logs GROUP BY id),
 c AS (SELECT query_log_id, count(DISTINCT id) AS n FROM click_logs WHERE query_log_id IS NOT NULL GROUP BY 1)
-SELECT query_type, count(*) AS queries, count(n) AS clicked, coalesce(sum(n), 0) AS clicks FROM l LEFT JOIN c ON c.query_log_id = l.id GROUP BY 1""",
+SELECT query_type, count(*) AS queries, count(n) AS clicked, cast(coalesce(sum(n), 0) AS BIGINT) AS clicks FROM l LEFT JOIN c ON c.query_log_id = l.id GROUP BY 1""",
     "username_taken": "SELECT count(*) AS cnt FROM users WHERE username = 'yh_2'",
     "term_frequencies": f"""WITH {_PAGE_DOCS}, t AS (SELECT doc_id, {_tokens('content')} AS toks FROM docs), e AS (SELECT doc_id, len(toks) AS l, unnest(toks) AS term FROM t)
 SELECT doc_id AS page_id, term, count(*) AS n, round(cast(count(*) AS DOUBLE) / any_value(l), 6) AS tf FROM e GROUP BY doc_id, term""",
     "document_frequencies": f"WITH {_PAGE_DOCS}, {_fields(['title', 'content'])} SELECT term, field, count(*) AS df FROM (SELECT field, unnest(list_distinct(toks)) AS term FROM fields) GROUP BY ALL",
-    "field_statistics": f"WITH {_PAGE_DOCS}, {_fields(['title', 'content', 'anchor_text'])} SELECT field, count(*) AS doc_count, sum(len(toks)) AS sum_dl FROM fields GROUP BY field",
+    "field_statistics": f"WITH {_PAGE_DOCS}, {_fields(['title', 'content', 'anchor_text'])} SELECT field, count(*) AS doc_count, cast(sum(len(toks)) AS BIGINT) AS sum_dl FROM fields GROUP BY field",
     "postings": f"""WITH {_PAGE_DOCS}, {_fields(['title'])}, e AS (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM fields)
 SELECT term, doc_id, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions FROM e GROUP BY ALL""",
     "search_indexed": f"WITH {_multi(_PAGE_DOCS, Q, PAGE_BOOSTS)} SELECT doc_id, round(score, 6) AS score FROM hits",
@@ -219,7 +219,7 @@ SELECT item_id, coalesce(a, b, '') AS title FROM t""",
 e AS (SELECT item_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos FROM a), h AS (SELECT item_id, pos, regexp_extract(x, '(?i)href="([^"]*)"', 1) AS href FROM e)
 SELECT item_id, pos, href, CASE WHEN regexp_matches(href, '(?i)\.(pdf|doc|docx|xls|xlsx|ppt|pptx|zip|rar)$') THEN 'attachment' ELSE 'page' END AS kind FROM h""",
     "link_degrees": f"""WITH e AS (SELECT DISTINCT {_norm('from_url')} AS src, {_norm('to_url')} AS dst FROM page_links), f AS (SELECT * FROM e WHERE src <> dst)
-SELECT url, sum(o) AS out_degree, sum(i) AS in_degree FROM (SELECT src AS url, 1 AS o, 0 AS i FROM f UNION ALL SELECT dst, 0, 1 FROM f) GROUP BY url""",
+SELECT url, cast(sum(o) AS BIGINT) AS out_degree, cast(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS url, 1 AS o, 0 AS i FROM f UNION ALL SELECT dst, 0, 1 FROM f) GROUP BY url""",
     "pagerank": f"""WITH RECURSIVE e AS (SELECT DISTINCT {_norm('from_url')} AS src, {_norm('to_url')} AS dst FROM page_links), f AS (SELECT * FROM e WHERE src <> dst),
 nodes AS (SELECT src AS v FROM f UNION SELECT dst FROM f), n AS (SELECT cast(count(*) AS DOUBLE) AS n FROM nodes), deg AS (SELECT src, count(*) AS deg FROM f GROUP BY src), w AS (SELECT f.src, f.dst, deg.deg FROM f JOIN deg USING (src)),
 """
@@ -234,7 +234,7 @@ nodes AS (SELECT src AS v FROM f UNION SELECT dst FROM f), n AS (SELECT cast(cou
     + " SELECT v AS url, round(r, 9) AS pagerank FROM r5",
     "site_page_caps": "SELECT id, source_site FROM (SELECT *, row_number() OVER (PARTITION BY source_site ORDER BY id) AS rn FROM pages) WHERE rn <= 5",
     "crawl_stats": """SELECT count(*) AS pages, round(count(*) / cast(12.5 AS DOUBLE), 1) AS pages_per_minute, round(cast(sum(strlen(content)) AS DOUBLE) / count(*), 1) AS mean_bytes,
-  sum(coalesce(len(attachment_links), 0)) AS attachments, count(*) FILTER (coalesce(trim(content), '') = '') AS empty_pages FROM page_items""",
+  cast(sum(coalesce(len(attachment_links), 0)) AS BIGINT) AS attachments, count(*) FILTER (coalesce(trim(content), '') = '') AS empty_pages FROM page_items""",
     "site_yield": "WITH c AS (SELECT source_site AS site, count(*) AS cnt FROM page_items GROUP BY 1) SELECT site, cnt, round(100.0 * cnt / max(cnt) OVER ()) AS pct FROM c",
     "ingest_decide": f"WITH {_DECIDE.format(force='false')} SELECT line_no, action FROM decided",
     "ingest_force": f"WITH {_DECIDE.format(force='true')} SELECT 'page' AS entity, action, count(*) AS cnt FROM decided GROUP BY action",

@@ -54,6 +54,19 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+_CUT: dict[str, list[str]] = {}
+
+
+def drop_cut_tables(spark: SparkSession) -> int:
+    """Delete the tables that this session's operators wrote; frames that still read them fail afterwards."""
+    jvm = spark.sparkContext._jvm
+    paths = _CUT.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    return len(paths)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
@@ -61,6 +74,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
+    _CUT.setdefault(spark.sparkContext.applicationId, []).append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -80,7 +94,10 @@ def ship(spark: SparkSession) -> None:
     if getattr(sc, "_brinewell_shipped", False):
         return
     root = os.path.dirname(os.path.abspath(__file__))
-    archive = os.path.join(tempfile.mkdtemp(prefix="brinewell-code-"), "brinewell_code.zip")
+    shared = shared_dir(spark).removeprefix("file://").removeprefix("file:")
+    folder = os.path.join(shared, f"code-{uuid.uuid4().hex}") if shared.startswith("/") else tempfile.mkdtemp(prefix="brinewell-code-")
+    os.makedirs(folder, exist_ok=True)
+    archive = os.path.join(folder, "brinewell_code.zip")
     with zipfile.ZipFile(archive, "w") as z:
         for folder, _, files in os.walk(root):
             for name in files:
