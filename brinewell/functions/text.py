@@ -24,18 +24,20 @@ STOP_WORDS = (
     "too", "very", "just", "about", "and", "but", "or", "if", "while",
 )
 
-_CJK_RUN = "[\\x{4e00}-\\x{9fff}]+"
-_WORD = "[a-zA-Z0-9]+"
+_CJK = "[\\x{4e00}-\\x{9fff}]"
+#: A character with another after it becomes the pair and a space; the last of a run of two or more vanishes.
+_STEP = f"({_CJK})(?=({_CJK}))|(?<={_CJK}){_CJK}(?!{_CJK})"
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def _pairs(run: Column) -> Column:
-    """Steps of two characters of a run; a single character stays."""
-    return F.when(F.length(run) == 1, F.array(run)).otherwise(F.transform(F.sequence(F.lit(1), F.length(run) - 1), lambda i: F.substring(run, i, F.lit(2))))
+def _kept(tokens: Column) -> Column:
+    # a list this long is looked up in a hash set
+    return F.filter(tokens, lambda t: ~t.isin(*STOP_WORDS))
 
 
-def _kept(tokens: Column) -> Column:
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    return F.filter(tokens, lambda t: ~F.array_contains(stop, t))
+def _stepped(text: Column) -> Column:
+    """The text in ASCII lower case, Chinese runs as space-separated steps of two characters."""
+    return F.regexp_replace(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _STEP, "$1$2 ")
 
 
 def tokenize(text: Column) -> Column:
@@ -43,17 +45,13 @@ def tokenize(text: Column) -> Column:
 
     Null and blank texts have an empty array.
     """
-    t = F.coalesce(text, F.lit(""))
-    runs = F.flatten(F.transform(F.regexp_extract_all(t, F.lit(f"({_CJK_RUN})"), 1), _pairs))
-    words = F.transform(F.regexp_extract_all(t, F.lit(f"({_WORD})"), 1), F.lower)
-    return _kept(F.concat(runs, words))
+    t = _stepped(text)
+    return _kept(F.concat(F.regexp_extract_all(t, F.lit(f"({_CJK}+)"), 1), F.regexp_extract_all(t, F.lit("([a-z0-9]+)"), 1)))
 
 
 def tokenize_in_order(text: Column) -> Column:
     """The same terms in the order of the text, as phrases need them."""
-    t = F.coalesce(text, F.lit(""))
-    parts = F.regexp_extract_all(t, F.lit(f"({_CJK_RUN}|{_WORD})"), 1)
-    return _kept(F.flatten(F.transform(parts, lambda p: F.when(p.rlike("^[a-zA-Z0-9]"), F.array(F.lower(p))).otherwise(_pairs(p)))))
+    return _kept(F.regexp_extract_all(_stepped(text), F.lit(f"({_CJK}+|[a-z0-9]+)"), 1))
 
 
 def query_terms(text: str, in_order: bool = False) -> list[str]:

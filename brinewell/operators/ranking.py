@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brinewell.functions.text import min_max, query_terms, tokenize
+from brinewell.session import cut_lineage
 
 VSM_WEIGHTS = {"title": 0.5, "content": 0.4, "anchor_text": 0.1}
 BLEND = {"bm25": 0.60, "vsm": 0.20, "pagerank": 0.15, "preference": 0.05}
@@ -20,6 +21,8 @@ def vsm_scores(candidates: DataFrame, id_col: str, q: str, weights: dict[str, fl
     """
     weights = weights or VSM_WEIGHTS
     terms = query_terms(q)
+    # a page of candidates is read several times below: the search that found it must not be
+    candidates = cut_lineage(candidates.select(id_col, *weights))
     own = {t: terms.count(t) / len(terms) for t in dict.fromkeys(terms)}
     each = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.lit(float(w)).alias("weight"), tokenize(F.col(f)).alias("tokens")) for f, w in weights.items()]))
     fields = candidates.select(F.col(id_col).alias("id"), each.alias("x")).select("id", "x.field", "x.weight", "x.tokens")

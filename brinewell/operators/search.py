@@ -37,19 +37,24 @@ def _tf_part(tf: Column, dl: Column, avg: Column) -> Column:
     return tf / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / avg))
 
 
-def _clauses(docs: DataFrame, fields: list[str], terms: list[str], count: Callable[[Column, list[str]], list[Column]]) -> tuple[DataFrame, DataFrame]:
-    """Documents with dl and per-clause tf of each field, and the one-row statistics (n, avg, df) of all of them."""
-    # the generator keeps the optimizer from copying the tokenization into every use of its result
-    with_tokens = docs.select("*", F.explode(F.array(F.struct(*[tokenize_in_order(F.col(f)).alias(f) for f in fields]))).alias("__t"))
+def _clauses(docs: DataFrame, fields: list[str], terms: list[str], count: Callable[[Column, Column, list[str]], list[Column]]) -> tuple[DataFrame, DataFrame]:
+    """Documents with dl and per-clause tf of each field, and the one-row statistics (n, avg, df) of all of them.
+
+    ``count`` gets a field's tokens and those of them that are query terms.
+    """
+    # generators keep the optimizer from copying the tokenization into every use of its result
+    tokens = docs.select("*", F.explode(F.array(F.struct(*[tokenize_in_order(F.col(f)).alias(f) for f in fields]))).alias("__t"))
+    held = F.struct(*[F.filter(F.col(f"__t.{f}"), lambda x: x.isin(*terms)).alias(f) for f in fields])
+    with_tokens = tokens.select("*", F.explode(F.array(held)).alias("__h"))
     counted = with_tokens.select(
         *docs.columns,
         *[F.size(f"__t.{f}").cast("double").alias(f"__dl_{f}") for f in fields],
-        *[c.cast("double").alias(f"__tf_{f}_{i}") for f in fields for i, c in enumerate(count(F.col(f"__t.{f}"), terms))],
+        *[c.cast("double").alias(f"__tf_{f}_{i}") for f in fields for i, c in enumerate(count(F.col(f"__t.{f}"), F.col(f"__h.{f}"), terms))],
     )
-    n = len(count(F.array(F.lit("")), terms))
+    n = len(count(F.array(F.lit("")), F.array(F.lit("")), terms))
     singles = with_tokens.select(
         *[F.size(f"__t.{f}").cast("double").alias(f"__dl_{f}") for f in fields],
-        *[F.array_contains(f"__t.{f}", t).alias(f"__has_{f}_{i}") for f in fields for i, t in enumerate(terms)],
+        *[F.array_contains(f"__h.{f}", t).alias(f"__has_{f}_{i}") for f in fields for i, t in enumerate(terms)],
     )
     stats = singles.agg(
         *[F.count_if(F.col(f"__dl_{f}") > 0).cast("double").alias(f"__n_{f}") for f in fields],
@@ -73,7 +78,7 @@ def multi_match(docs: DataFrame, q: str, boosts: dict[str, float]) -> DataFrame:
     terms, fields = list(dict.fromkeys(query_terms(q, in_order=True))), list(boosts)
     if not terms:
         return docs.where(F.lit(False)).withColumn("score", F.lit(0.0))
-    hits, stats = _clauses(docs, fields, terms, lambda tokens, ts: [_count(tokens, t) for t in ts])
+    hits, stats = _clauses(docs, fields, terms, lambda _, held, ts: [_count(held, t) for t in ts])
     joined = hits.crossJoin(F.broadcast(stats))  # one row
     per_field = []
     for f in fields:
@@ -85,9 +90,14 @@ def multi_match(docs: DataFrame, q: str, boosts: dict[str, float]) -> DataFrame:
     return joined.select(*docs.columns, score.alias("score"))
 
 
-def _phrase_count(tokens: Column, terms: list[str]) -> Column:
+def _phrase_count(tokens: Column, held: Column, terms: list[str]) -> Column:
+    """Places where the terms stand in a row; looked for only where every term is held."""
     q, m = F.array(*[F.lit(t) for t in terms]), len(terms)
-    return F.when(F.size(tokens) < m, F.lit(0)).otherwise(F.size(F.filter(F.sequence(F.lit(0), F.greatest(F.size(tokens) - m, F.lit(0))), lambda i: F.slice(tokens, i + 1, m) == q)))
+    every = F.size(tokens) >= m
+    for t in dict.fromkeys(terms):
+        every = every & F.array_contains(held, t)
+    starts = F.sequence(F.lit(0), F.greatest(F.size(tokens) - m, F.lit(0)))
+    return F.when(every, F.size(F.filter(starts, lambda i: (F.get(tokens, i) == F.lit(terms[0])) & (F.slice(tokens, i + 1, m) == q)))).otherwise(0)
 
 
 def phrase_match(docs: DataFrame, q: str, boosts: dict[str, float] | None = None) -> DataFrame:
@@ -96,7 +106,7 @@ def phrase_match(docs: DataFrame, q: str, boosts: dict[str, float] | None = None
     terms, fields = query_terms(q, in_order=True), list(boosts)
     if not terms:
         return docs.where(F.lit(False)).withColumn("score", F.lit(0.0))
-    hits, stats = _clauses(docs, fields, terms, lambda tokens, ts: [_phrase_count(tokens, ts)])
+    hits, stats = _clauses(docs, fields, terms, lambda tokens, held, ts: [_phrase_count(tokens, held, ts)])
     joined = hits.crossJoin(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for f in fields:

@@ -41,7 +41,8 @@ def latest_items(spark: SparkSession, d: str) -> DataFrame:
 def page_docs(spark: SparkSession, d: str) -> DataFrame:
     """Documents of the page index: registered pages with the text of their latest item, '' without one."""
     pages = load(spark, d, "pages").select(F.col("id").alias("page_id"), "url", "normalized_url", F.coalesce("title", F.lit("")).alias("title"), "source_site", "category")
-    joined = pages.join(latest_items(spark, d), "normalized_url", "left")
+    # texts are never broadcast: the latest items already lie by address, only the register moves
+    joined = pages.join(latest_items(spark, d).hint("shuffle_hash"), "normalized_url", "left")
     return joined.select("page_id", "url", "title", F.coalesce("content", F.lit("")).alias("content"), F.coalesce("anchor_text", F.lit("")).alias("anchor_text"), "source_site", "category")
 
 
@@ -49,7 +50,7 @@ def attachment_docs(spark: SparkSession, d: str) -> DataFrame:
     """Documents of the attachment index: the text comes from the documents table by id."""
     texts = load(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("file_text"))
     a = load(spark, d, "attachments").select("id", "file_url", "file_name", "file_type", "parent_page_id", "parent_title", "source_site", "category", "parse_status")
-    return a.join(texts, "id", "left").select(
+    return a.join(texts.hint("shuffle_hash"), "id", "left").select(
         F.col("id").alias("attachment_id"), "file_url", F.coalesce("file_name", F.lit("")).alias("file_name"), "file_type", F.coalesce("file_text", F.lit("")).alias("file_text"),
         "parent_page_id", F.coalesce("parent_title", F.lit("")).alias("parent_title"), "source_site", "category", "parse_status",
     )

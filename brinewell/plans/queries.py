@@ -11,7 +11,7 @@ from brinewell.functions import dates, text, urls
 from brinewell.operators import crawl, graph, html, index, ingest, log_analytics, ranking, search
 from brinewell.operators.orphans import site_orphans
 from brinewell.plans.bindings import AS_OF, attachment_docs, keyword_weights, page_docs, recrawl
-from brinewell.session import load
+from brinewell.session import cut_lineage, load
 
 Q = "样本标注 workshop 风险评估"
 PHRASE = "风险评估"
@@ -216,7 +216,7 @@ def document_results(spark, d):
 
 
 def _candidates(spark, d, size=20):
-    return search.page_of(search.multi_match(page_docs(spark, d), Q, search.PAGE_BOOSTS), "page_id", 1, size)
+    return cut_lineage(search.page_of(search.multi_match(page_docs(spark, d), Q, search.PAGE_BOOSTS), "page_id", 1, size))
 
 
 @query
