@@ -130,13 +130,17 @@ def _sketch_batches(q: int, similarity: float, per_block: int):
     blocks = plan_blocks(similarity, per_block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()  # a task's copies of one text make its keys once
+        none = np.zeros(0, np.uint64)
         for batch in batches:
             ids, fps, sizes, lens, keys = [], [], [], [], []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 h = token_hashes(text, q)
-                k = sketch_keys(h, similarity, per_block, blocks)
+                fp = fingerprint(h)
+                k = none if fp in seen else sketch_keys(h, similarity, per_block, blocks)
+                seen.add(fp)
                 ids.append(i)
-                fps.append(fingerprint(h))
+                fps.append(fp)
                 sizes.append(len(h))
                 lens.append(len(k))
                 keys.append(k)
