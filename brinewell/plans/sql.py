@@ -99,6 +99,27 @@ va AS (SELECT t.doc_id, coalesce(s, 0) AS s FROM top t LEFT JOIN vs USING (doc_i
 vsm AS (SELECT doc_id, coalesce((s - min(s) OVER ()) / nullif(max(s) OVER () - min(s) OVER (), 0), cast(0 AS DOUBLE)) AS vsm FROM va)"""
 
 
+def _alternatives(terms: list[str]) -> str:
+    return "|".join(sorted(set(terms), key=lambda t: (-len(t), t)))
+
+
+def _marked(x: str, terms: list[str]) -> str:
+    return f"regexp_replace({x}, '(?i)({_alternatives(terms)})', '<em>\\1</em>', 'g')"
+
+
+def _sane(x: str) -> str:
+    kept = f"replace(replace({x}, '<em>', chr(1)), '</em>', chr(2))"
+    return f"replace(replace(regexp_replace({kept}, '<[^>]*>', '', 'g'), chr(1), '<em>'), chr(2), '</em>')"
+
+
+def _snippets(source: str, column: str, terms: list[str]) -> str:
+    c = f"coalesce({column}, '')"
+    return f"""parts AS (SELECT doc_id, i, substr(c, i * 150 + 1, 150) AS part FROM (SELECT doc_id, {c} AS c, unnest(range(0, cast(greatest((length({c}) - 1) // 150, 0) AS BIGINT) + 1)) AS i FROM {source})),
+hit AS (SELECT *, len(regexp_extract_all(part, '(?i)({_alternatives(terms)})')) AS n FROM parts),
+rk AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, i) AS rn FROM hit),
+sn AS (SELECT doc_id, string_agg({_marked('part', terms)}, ' ... ' ORDER BY rn) FILTER (rn <= 3 AND n > 0) AS s FROM rk GROUP BY doc_id)"""
+
+
 _KW = "kw AS (SELECT * FROM (VALUES " + ", ".join(f"('{r}', '{k}', cast({w} AS DOUBLE))" for r, k, w in KEYWORDS) + ") AS v(role, keyword, weight))"
 
 
@@ -190,6 +211,11 @@ SELECT term, doc_id, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positi
     "search_wildcard_title": f"SELECT id AS page_id, cast(1 AS DOUBLE) AS score FROM pages WHERE len(list_filter({_tokens('title')}, lambda t: t LIKE 'work%p')) > 0",
     "search_regex": "SELECT id AS page_id, coalesce(title, '') AS title FROM pages WHERE regexp_matches(title, '第([0-9]+)届')",
     "highlight_titles": r"""SELECT id AS page_id, replace(replace(regexp_replace(replace(replace(regexp_replace(coalesce(title, ''), '(?i)(workshop|风险)', '<em>\1</em>', 'g'), '<em>', chr(1)), '</em>', chr(2)), '<[^>]*>', '', 'g'), chr(1), '<em>'), chr(2), '</em>') AS title FROM pages""",
+    "snippets": f"WITH {_PAGE_DOCS}, {_snippets('docs', 'content', ['风险评估', 'workshop'])} SELECT doc_id AS page_id, coalesce(s, substr(content, 1, 100)) AS snippet FROM docs JOIN sn USING (doc_id)",
+    "page_results": f"""WITH {_multi(_PAGE_DOCS, Q, PAGE_BOOSTS)}, {_top(10)}, {_snippets('top', 'content', query_terms(Q, in_order=True))}
+SELECT doc_id AS page_id, {_sane(_marked('title', query_terms(Q, in_order=True)))} AS title, url, {_sane('coalesce(s, substr(content, 1, 100))')} AS snippet, source_site, category, round(score, 6) AS score FROM top JOIN sn USING (doc_id)""",
+    "document_results": f"""WITH {_multi(_ATTACHMENT_DOCS, Q, DOCUMENT_BOOSTS)}, {_top(10)}, {_snippets('top', 'file_text', query_terms(Q, in_order=True))}
+SELECT doc_id AS attachment_id, {_sane(_marked('file_name', query_terms(Q, in_order=True)))} AS file_name, file_url, file_type, {_sane('coalesce(s, substr(file_text, 1, 100))')} AS snippet, parent_page_id, parent_title, round(score, 6) AS score FROM top JOIN sn USING (doc_id)""",
     "vsm_scores": f"WITH {_multi(_PAGE_DOCS, Q, PAGE_BOOSTS)}, {_top(20)}, {_vsm(Q)} SELECT doc_id AS page_id, round(vsm, 6) AS vsm FROM vsm",
     "preference_scores": f"WITH {_multi(_PAGE_DOCS, Q, PAGE_BOOSTS)}, {_top(10)}, {_KW} SELECT u.id AS user_id, doc_id AS page_id, {_preference('substr(content, 1, 100)')} AS preference FROM users u CROSS JOIN top",
     "ranked_search": f"""WITH {_multi(_PAGE_DOCS, Q, PAGE_BOOSTS)}, {_top(20)}, {_vsm(Q)}, {_KW},
