@@ -32,6 +32,7 @@ def vsm_scores(candidates: DataFrame, id_col: str, q: str, weights: dict[str, fl
         .agg(F.count("*").alias("n"))
         .select("id", "field", "weight", "term", (F.col("n").cast("double") / F.col("len")).alias("tf"))
     )
+    tf = cut_lineage(tf)
     n_docs = candidates.agg((F.count("*") + 1).cast("double").alias("n_docs"))
     query = F.create_map(*[x for t, v in own.items() for x in (F.lit(t), F.lit(v))]) if own else F.create_map().cast("map<string,double>")
     df = tf.groupBy("field", "term").agg(F.count("*").alias("df"))

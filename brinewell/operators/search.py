@@ -38,7 +38,7 @@ def _tf_part(tf: Column, dl: Column, avg: Column) -> Column:
 
 
 def _clauses(docs: DataFrame, fields: list[str], terms: list[str], count: Callable[[Column, Column, list[str]], list[Column]]) -> tuple[DataFrame, DataFrame]:
-    """Documents with dl and per-clause tf of each field, and the one-row statistics (n, avg, df) of all of them.
+    """Documents that hold a term, with dl and per-clause tf of each field, and the one-row statistics (n, avg, df) of all.
 
     ``count`` gets a field's tokens and those of them that are query terms.
     """
@@ -46,12 +46,14 @@ def _clauses(docs: DataFrame, fields: list[str], terms: list[str], count: Callab
     tokens = docs.select("*", F.explode(F.array(F.struct(*[tokenize_in_order(F.col(f)).alias(f) for f in fields]))).alias("__t"))
     held = F.struct(*[F.filter(F.col(f"__t.{f}"), lambda x: x.isin(*terms)).alias(f) for f in fields])
     with_tokens = tokens.select("*", F.explode(F.array(held)).alias("__h"))
-    counted = with_tokens.select(
+    some = F.lit(False)
+    for f in fields:
+        some = some | (F.size(f"__h.{f}") > 0)
+    counted = with_tokens.where(some).select(
         *docs.columns,
         *[F.size(f"__t.{f}").cast("double").alias(f"__dl_{f}") for f in fields],
         *[c.cast("double").alias(f"__tf_{f}_{i}") for f in fields for i, c in enumerate(count(F.col(f"__t.{f}"), F.col(f"__h.{f}"), terms))],
     )
-    n = len(count(F.array(F.lit("")), F.array(F.lit("")), terms))
     singles = with_tokens.select(
         *[F.size(f"__t.{f}").cast("double").alias(f"__dl_{f}") for f in fields],
         *[F.array_contains(f"__h.{f}", t).alias(f"__has_{f}_{i}") for f in fields for i, t in enumerate(terms)],
@@ -61,12 +63,7 @@ def _clauses(docs: DataFrame, fields: list[str], terms: list[str], count: Callab
         *[(F.sum(f"__dl_{f}") / F.count_if(F.col(f"__dl_{f}") > 0)).alias(f"__avg_{f}") for f in fields],
         *[F.count_if(F.col(f"__has_{f}_{i}")).cast("double").alias(f"__df_{f}_{i}") for f in fields for i in range(len(terms))],
     )
-    any_hit = None
-    for f in fields:
-        for i in range(n):
-            hit = F.col(f"__tf_{f}_{i}") > 0
-            any_hit = hit if any_hit is None else any_hit | hit
-    return counted.where(any_hit), stats
+    return counted, stats
 
 
 def _count(tokens: Column, term: str) -> Column:
@@ -108,13 +105,14 @@ def phrase_match(docs: DataFrame, q: str, boosts: dict[str, float] | None = None
         return docs.where(F.lit(False)).withColumn("score", F.lit(0.0))
     hits, stats = _clauses(docs, fields, terms, lambda tokens, held, ts: [_phrase_count(tokens, held, ts)])
     joined = hits.crossJoin(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
+    score, any_hit = F.lit(0.0), F.lit(False)
     for f in fields:
         idf = F.lit(0.0)
         for i in range(len(terms)):
             idf = idf + _idf(F.col(f"__n_{f}"), F.col(f"__df_{f}_{i}"))
+        any_hit = any_hit | (F.col(f"__tf_{f}_0") > 0)
         score = score + F.when(F.col(f"__tf_{f}_0") > 0, F.lit(boosts[f]) * idf * _tf_part(F.col(f"__tf_{f}_0"), F.col(f"__dl_{f}"), F.col(f"__avg_{f}"))).otherwise(0.0)
-    return joined.select(*docs.columns, score.alias("score"))
+    return joined.where(any_hit).select(*docs.columns, score.alias("score"))
 
 
 def like_pattern(pattern: str) -> str:
