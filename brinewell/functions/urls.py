@@ -9,16 +9,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_BASE = "^([^?#]*)"
-_QUERY = "^[^?#]*([?][^#]*)"
-_BARE = "^[A-Za-z][A-Za-z0-9+.-]*://[^/]*$"
+#: The part before the query without trailing slashes, and the query; the fragment is left out.
+_PARTS = "(?s)^([^?#]*?)/*(\\?[^#]*)?(?:#.*)?$"
+#: An address that ends, or goes on with its query, right after the host.
+_BARE = "(?s)^([A-Za-z][A-Za-z0-9+.-]*://[^/?]+)(?=\\?|$)"
 
 
 def normalize_url(url: Column) -> Column:
     """Fragment and trailing slashes of the path removed, an empty path made '/', query kept; null stays null."""
-    base = F.regexp_replace(F.regexp_extract(url, _BASE, 1), "(?<!:/)(?<!:)/+$", "")
-    path = F.when(base.rlike(_BARE), F.concat(base, F.lit("/"))).otherwise(base)
-    return F.concat(path, F.regexp_extract(url, _QUERY, 1))
+    return F.regexp_replace(F.regexp_replace(url, _PARTS, "$1$2"), _BARE, "$1/")
 
 
 def host_of(url: Column) -> Column:

@@ -197,9 +197,9 @@ def orphans(references: list[Reference], ranges: int = 4096) -> DataFrame:
 def site_orphans(pages: DataFrame, page_links: DataFrame, query_logs: DataFrame, click_logs: DataFrame, attachments: DataFrame) -> DataFrame:
     """The orphans of this data model's three references; links only to hosts of the page register."""
     hosts = pages.where("source_site is not null and source_site <> ''").select(F.lower("source_site").alias("host")).distinct()
-    links = page_links.select("id", "created_at", normalize_url(F.col("to_url")).alias("target"))
+    links = page_links.select("id", "created_at", normalize_url(F.col("to_url")).alias("target"), F.lower(host_of(F.col("to_url"))).alias("host"))
     # the registered hosts are far fewer than the pages; Spark broadcasts them only below its size threshold
-    links = links.withColumn("host", F.lower(host_of(F.col("target")))).join(hosts, "host", "left_semi")
+    links = links.join(hosts, "host", "left_semi")
     return orphans(
         [
             Reference("page_links", links, F.col("id"), F.col("target"), F.col("created_at"), pages, F.col("normalized_url"), F.col("created_at")),
