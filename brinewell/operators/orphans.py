@@ -200,8 +200,11 @@ def site_orphans(pages: DataFrame, page_links: DataFrame, query_logs: DataFrame,
     links = page_links.select("id", "created_at", normalize_url(F.col("to_url")).alias("target"), F.lower(host_of(F.col("to_url"))).alias("host"))
     # the registered hosts are far fewer than the pages; Spark broadcasts them only below its size threshold
     links = links.join(hosts, "host", "left_semi")
+    # Parquet footers tell the rows; some 50,000 rows a range keep its dictionary small and its bitmaps few
+    rows = sum(t.count() for t in (pages, page_links, query_logs, click_logs, attachments))
     return orphans(
-        [
+        ranges=max(64, rows // 50_000),
+        references=[
             Reference("page_links", links, F.col("id"), F.col("target"), F.col("created_at"), pages, F.col("normalized_url"), F.col("created_at")),
             Reference("click_logs", click_logs, F.col("id"), F.col("query_log_id"), F.col("created_at"), query_logs, F.col("id"), F.col("created_at")),
             Reference("attachments", attachments, F.col("id"), F.col("parent_page_id"), F.col("created_at"), pages, F.col("id"), F.col("created_at")),
