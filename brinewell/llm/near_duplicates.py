@@ -193,8 +193,8 @@ def _classes(df: DataFrame, id_col: str, text_col: str, similarity: float, q: in
     texts = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where(
         F.col("id").isNotNull() & F.col("text").isNotNull() & (F.length("text") >= min_chars)
     )
-    # chance agreements of unlike texts grow with the rows: a token more a block for every eightfold
-    per_block = 3 + max(0, math.ceil(math.log(max(1, df.count()) / 200_000, 8)))
+    # chance agreements of unlike texts grow with the square of the rows; a token more a block leaves a tenth of them
+    per_block = 3 + max(0, math.ceil(math.log(max(1, df.count()) / 200_000, 12)))
     sketched = texts.mapInArrow(_sketch_batches(q, similarity, per_block), "id long, fp long, n int, keys array<long>")
     sketched = cut_lineage(sketched.where("n > 0"))
     members = sketched.select("id", "fp").distinct()
