@@ -42,7 +42,16 @@ SELECT item_id, (SELECT min(b) FROM reach r WHERE r.a = cls.item_id) AS group_id
 """
 )
 
+_P9 = r"""
+WITH d AS (SELECT DISTINCT doc_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS s FROM documents WHERE text IS NOT NULL),
+i AS (SELECT DISTINCT item_id, regexp_replace(lower(text), '[^\p{L}\p{N}]', '', 'g') AS s FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, substr(s, k, 40) AS g FROM (SELECT doc_id, s, unnest(range(1, length(s) - 38)) AS k FROM d WHERE length(s) >= 40)),
+iw AS (SELECT DISTINCT item_id, substr(s, k, 40) AS g FROM (SELECT item_id, s, unnest(range(1, length(s) - 38)) AS k FROM i WHERE length(s) >= 40))
+SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (g)
+"""
+
 SQL: dict[str, str] = {
+    "p9_found": _P9,
     "p1_found": _P1 + "SELECT a AS item_id_a, b AS item_id_b FROM links",
     "p1_groups": _P1_GROUPS,
     "p2_found": f"SELECT query_text FROM ({_P2})",
