@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.functions.urls import host_of
-from brinewell.llm.residue import residue_sentences
+from brinewell.llm.residue import MESSAGE, residue_sentences
 from brinewell.session import cut_lineage
 
 _TOKEN = re.compile(r"<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|<[!?][^>]*>|([^<]+)|<", re.DOTALL | re.IGNORECASE)
@@ -232,6 +232,8 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                             n = counts[k] = [0, 0]
                         n[article] += 1
             else:
+                # an error page is a few lines: those around its message belong to it
+                error = len(rows) <= 4 and any(MESSAGE.search(line) for _, line in rows if residue_sentences(line))
                 for at, (no, line) in enumerate(rows):
                     f = features(line, at)
                     kind.append(2)
@@ -240,7 +242,7 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     keys.append(f[0])
                     a.append(f[1])
                     b.append(f[2])
-                    c.append(bool(residue_sentences(line)))
+                    c.append(error or bool(residue_sentences(line)))
                     known.append(-1 if line == title or line in inside else 1 if line in outside else 0)
         yield _rows(kind, ids, nos, keys, a, b, c, known, None)
     at = list(counts)
