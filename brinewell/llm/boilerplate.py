@@ -1,13 +1,15 @@
 """Main content of pages by template deduction from equivalence classes (problem 3).
 
 Tags, qualified by the container they are in, are the tokens of a page. For each host the
-occurrence vector of a token over the host's pages is kept as a commutative fingerprint
+occurrence vector of a token over the host's whole pages is kept as a commutative fingerprint
 (the sum of hashes of page and count), so it is aggregated before any shuffle, however
 many pages a host has. Tokens with one vector form an equivalence class; a class is valid
-if its tokens occur once on each of its pages, opening and closing tag and what is between
-them in order. Valid classes are nested into the host's template by their position, and
-the slots between their tags are measured: the slot that holds most of its pages' text is
-the main one. Lines of the main slot are the article, all other lines are furniture.
+if its tokens occur once on each of its pages and in one order on all of them; of a class
+in several orders the pairs of opening and closing tag are left. Valid classes are nested
+by their position, and the slots between their tags are measured: the slot that holds most
+of its pages' text is the main one. The text of a slot nested in another counts to it too,
+unless the nested slot is navigation by its kind, consists of links, or repeats its lines
+from page to page. Lines of the main slot are the article, all other lines are furniture.
 
 Pages without HTML, or with HTML cut off before its end, are judged by what the other
 pages teach: counts of line features among furniture and article lines give each line a
@@ -22,7 +24,6 @@ import re
 from collections import defaultdict
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -49,27 +50,27 @@ def squeeze_line(line: str) -> str:
     return " ".join(line.split())
 
 
-def parse(page: str) -> tuple[list[tuple[str, str]], list[str], bool]:
-    """(slot, line) of every text line, the qualified tag tokens in order, and whether the page ends properly.
+def outline(page: str) -> tuple[list[tuple[tuple[str, ...], str, bool]], list[str], bool]:
+    """(slots around it from the outermost, line, whether it is a link) of every text line, the qualified tag tokens in order, and whether the page ends properly.
 
-    A slot is the innermost container with a class, id or role, or a container of a kind that
-    says what it is (nav, aside, footer); others take their parent's.
+    A slot is a container with a class, id or role, or a container of a kind that says what it
+    is (nav, aside, footer); others take their parent's.
     """
-    lines: list[tuple[str, str]] = []
+    lines: list[tuple[tuple[str, ...], str, bool]] = []
     tokens: list[str] = []
-    stack: list[tuple[str, str]] = [("", "")]
+    stack: list[tuple[str, tuple[str, ...], str]] = [("", (), "")]
     whole = False
     head = False
+    link = False
     for m in _TOKEN.finditer(page):
         text = m.group(5)
         if text is not None:
             if head or text.isspace():
                 continue
-            slot = stack[-1][1]
             for line in _NEWLINE.split(text):
                 line = squeeze_line(html.unescape(line) if "&" in line else line)
                 if line:
-                    lines.append((slot, line))
+                    lines.append((stack[-1][1], line, link))
             continue
         tag = m.group(3)
         if not tag:
@@ -80,42 +81,76 @@ def parse(page: str) -> tuple[list[tuple[str, str]], list[str], bool]:
                 whole = True
             if tag == "head":
                 head = False
+            elif tag == "a":
+                link = False
             elif tag in _CONTAINER:
+                link = False
                 for depth in range(len(stack) - 1, 0, -1):
                     if stack[depth][0] == tag:
-                        tokens.append("/" + stack[depth][1])
+                        tokens.append("/" + stack[depth][2])
                         del stack[depth:]
                         break
             continue
+        path = stack[-1][1]
         if tag == "head":
             head = True
         elif tag == "body":
             head = False
             tokens.append("body")
+        elif tag == "a":
+            link = True
         elif tag in _CONTAINER:
             marks = "".join(f"{'.#@'['cir'.index(k[0].lower())]}{a or b or c}" for k, a, b, c in _MARK.findall(m.group(4)))
-            own = tag + marks if marks or tag in ("nav", "aside", "footer", "header", "main", "article") else (stack[-1][1] or tag)
-            stack.append((tag, own))
-            tokens.append(own)
+            if marks or tag in ("nav", "aside", "footer", "header", "main", "article") or not path:
+                token = tag + marks
+                stack.append((tag, (*path, token), token))
+            else:
+                token = f"{path[-1]}>{tag}"
+                stack.append((tag, path, token))
+            tokens.append(token)
         elif tag not in _VOID and tag[0] == "h" and tag[1:].isdigit():
-            tokens.append(f"{stack[-1][1]}>{tag}")
+            tokens.append(f"{path[-1] if path else ''}>{tag}")
     return lines, tokens, whole
 
 
+def parse(page: str) -> tuple[list[tuple[str, str]], list[str], bool]:
+    """(innermost slot, line) of every text line, the qualified tag tokens in order, and whether the page ends properly."""
+    lines, tokens, whole = outline(page)
+    return [(path[-1] if path else "", line) for path, line, _ in lines], tokens, whole
+
+
+#: Slots that are no part of an article wherever they are nested.
+_BESIDE = re.compile(r"(?:nav|aside|footer|header|form)(?![a-z])")
+_CELLS = "host string, token string, parent string, line long, pages long, times long, vector long, place double, mass long, links long"
+#: Cells of lines that a task holds before it hands them on.
+_HELD = 200_000
+
+
+def _is_slot(token: str) -> bool:
+    return token[0] != "/" and ">" not in token and token != "body"
+
+
 def _learn_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (host, page key, raw_html): for each host and token pages, occurrences, vector, place, text here and text of its pages."""
+    """Of (host, page key, raw_html): rows of two kinds.
+
+    Without a line, for each host and token: whole pages, occurrences, vector and place. With one,
+    for each host, slot, the slot around it and masked line: times, text and text of links; of a
+    slot's lines beside the slots nested in it the parent is ''. Cut pages give tokens without counts.
+    """
     cells: dict[tuple[str, str], list] = {}
-    pages: dict[str, int] = defaultdict(int)
+    texts: dict[tuple[str, str, str, int], list[int]] = {}
+
+    def flush(tokens: bool) -> pa.RecordBatch:
+        rows = [(h, t, None, None, c[0], c[1], c[2] - (1 << 64) if c[2] >> 63 else c[2], c[3], None, None) for (h, t), c in cells.items()] if tokens else []
+        rows += [(h, t, p, x, None, n, None, None, mass, links) for (h, p, t, x), (n, mass, links) in texts.items()]
+        texts.clear()
+        cols = list(zip(*rows)) if rows else [()] * 10
+        kinds = [pa.string(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.float64(), pa.int64(), pa.int64()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _CELLS.split(", ")])
+
     for batch in batches:
         for host, key, page in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            lines, tokens, _ = parse(page)
-            if not tokens:
-                continue
-            pages[host] += 1
-            mass: dict[str, int] = defaultdict(int)
-            for slot, line in lines:
-                mass[slot] += len(line)
-            total = sum(mass.values())
+            lines, tokens, whole = outline(page)
             counts: dict[str, int] = defaultdict(int)
             first: dict[str, int] = {}
             for at, t in enumerate(tokens):
@@ -124,61 +159,128 @@ def _learn_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             for t, n in counts.items():
                 c = cells.get((host, t))
                 if c is None:
-                    c = cells[host, t] = [0, 0, 0, 0.0, 0, 0]
-                c[0] += 1
-                c[1] += n
-                c[2] = (c[2] + xxhash.xxh3_64_intdigest(f"{key}:{n}")) & (2**64 - 1)
-                c[3] += first[t] / len(tokens)
-                c[4] += mass.get(t, 0)
-                c[5] += total
-    keys = list(cells)
-    cols = list(zip(*cells.values())) if cells else [()] * 6
+                    c = cells[host, t] = [0, 0, 0, 0.0]
+                if whole:
+                    c[0] += 1
+                    c[1] += n
+                    c[2] = (c[2] + xxhash.xxh3_64_intdigest(f"{key}:{n}")) & (2**64 - 1)
+                    c[3] += first[t] / len(tokens)
+            if whole:
+                around = {slot for path, _, _ in lines for slot in path[:-1]}
+                for path, line, link in lines:
+                    if not path:
+                        continue
+                    # lines of slots that neither hold a slot nor are held by one need no telling
+                    for parent in ([path[-2]] if len(path) > 1 else []) + ([""] if path[-1] in around else []):
+                        c = texts.setdefault((host, parent, path[-1], _hash(_DIGITS.sub("#", line))), [0, 0, 0])
+                        c[0] += 1
+                        c[1] += len(line)
+                        c[2] += len(line) * link
+        if len(texts) > _HELD:
+            yield flush(False)
+    yield flush(True)
+
+
+def _inside(path: tuple[str, ...], main: set[str]) -> bool:
+    """Whether a line with these slots around it is in a main slot or in what is nested there as its text."""
+    inside, parent = False, ""
+    for slot in path:
+        inside = slot in main or (inside and f"{parent}\t{slot}" in main)
+        parent = slot
+    return inside
+
+
+def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (host, raw_html, classes, texts): for each host and slot its own text, with that nested in it, text of its pages, and pages on which its class is out of order."""
+    cells: dict[tuple[str, str], list[int]] = {}
+    for batch in batches:
+        for host, page, classes, pairs in zip(*(batch.column(c).to_pylist() for c in range(4))):
+            lines, tokens, whole = outline(page)
+            if not whole:
+                continue
+            first: dict[str, int] = {}
+            for at, t in enumerate(tokens):
+                first.setdefault(t, at)
+            pairs = set(pairs or ())
+            own: dict[str, int] = defaultdict(int)
+            full: dict[str, int] = defaultdict(int)
+            for path, line, _ in lines:
+                n = len(line)
+                if path:
+                    own[path[-1]] += n
+                for slot, inner in reversed(list(zip(path, [*path[1:], None]))):
+                    if inner is not None and f"{slot}\t{inner}" not in pairs:
+                        break
+                    full[slot] += n
+            total = sum(len(line) for _, line, _ in lines)
+            wrong = set()
+            for order in classes or ():
+                at = [first[t] for t in order if t in first]
+                if at != sorted(at):
+                    wrong.update(order)
+            for t in first:
+                if _is_slot(t):
+                    c = cells.setdefault((host, t), [0, 0, 0, 0])
+                    for k, x in enumerate((own[t], full[t], total, t in wrong)):
+                        c[k] += x
+    rows = [(h, t, *c) for (h, t), c in cells.items()]
+    cols = list(zip(*rows)) if rows else [()] * 6
     yield pa.RecordBatch.from_arrays(
-        [
-            pa.array([h for h, _ in keys], pa.string()),
-            pa.array([t for _, t in keys], pa.string()),
-            pa.array(cols[0], pa.int64()),
-            pa.array(cols[1], pa.int64()),
-            pa.array(np.array(cols[2], np.uint64).view(np.int64)),
-            pa.array(cols[3], pa.float64()),
-            pa.array(cols[4], pa.int64()),
-            pa.array(cols[5], pa.int64()),
-        ],
-        names=["host", "token", "pages", "times", "vector", "place", "mass", "total"],
+        [pa.array(c, k) for c, k in zip(cols, [pa.string(), pa.string(), *[pa.int64()] * 4])], names=["host", "token", "own", "mass", "total", "wrong"]
     )
 
 
-def main_slots(rows: DataFrame, least_share: float = 0.5, weight: float = 3.0) -> DataFrame:
-    """(host, main array<string>): the slots of each host's template that hold most of their pages' text."""
-    learned = rows.select("host", "key", "raw_html").where("raw_html is not null and raw_html <> ''").mapInArrow(
-        _learn_batches, "host string, token string, pages long, times long, vector long, place double, mass long, total long"
-    )
+def main_slots(rows: DataFrame, least_share: float = 0.5, weight: float = 3.0, broadcast_hosts: int = 200_000) -> DataFrame:
+    """(host, main array<string>): the slots of each host's template that hold most of their pages' text.
+
+    A slot nested in another as part of its text is named by both, with a tab between.
+    """
+    rows = rows.select("host", "key", "raw_html").where("raw_html is not null and raw_html <> ''")
+    learned = cut_lineage(rows.mapInArrow(_learn_batches, _CELLS))
     # sums of hashes wrap around as the fingerprints of whole vectors do
     tokens = cut_lineage(
-        learned.groupBy("host", "token").agg(
+        learned.where("line is null").groupBy("host", "token").agg(
             F.sum("pages").alias("pages"),
             F.sum("times").alias("times"),
             # a wrapping sum: halves are summed apart, so that ANSI arithmetic can't overflow
             F.sum(F.shiftright("vector", 32)).alias("v1"),
             F.sum(F.col("vector").bitwiseAND(0xFFFFFFFF)).alias("v0"),
             F.sum("place").alias("place"),
-            F.sum("mass").alias("mass"),
-            F.sum("total").alias("total"),
         )
     )
-    # equivalence classes: one vector, each token once a page; a slot needs its closing tag or a heading beside it
-    once = tokens.where("times = pages")
-    classes = once.groupBy("host", "pages", "v1", "v0").agg(F.count("*").alias("size"), F.min(F.col("place") / F.col("pages")).alias("opens"))
-    nested = once.join(classes.where("size >= 2"), ["host", "pages", "v1", "v0"])
-    slots = nested.where(~F.col("token").startswith("/") & ~F.contains("token", F.lit(">")) & (F.col("token") != "body"))
-    everywhere = tokens.where(~F.col("token").startswith("/")).groupBy("token").agg((F.sum("mass") / F.sum("total")).alias("usual"), F.sum("pages").alias("seen"))
-    # all hosts' share of the same token counts as ``weight`` pages; a cut or rare page's class is judged by it alone
-    loose = tokens.where(~F.col("token").startswith("/") & ~F.contains("token", F.lit(">")) & (F.col("token") != "body")).join(slots.select("host", "token"), ["host", "token"], "left_anti")
-    judged = slots.select("host", "token", "pages", "mass", "total").unionByName(loose.select("host", "token", F.lit(0).cast("long").alias("pages"), "mass", "total"))
-    judged = judged.join(everywhere, "token").select(
-        "host", "token", ((F.col("pages") * F.col("mass") / F.greatest("total", F.lit(1)) + weight * F.col("usual")) / (F.col("pages") + weight)).alias("share")
+    # text of a slot: most of it is neither links nor the same from page to page
+    each = learned.where("line is not null").groupBy("host", "parent", "token", "line").agg(F.sum("times").alias("times"), F.sum("mass").alias("mass"), F.sum("links").alias("links"))
+    told = each.groupBy("host", "parent", "token").agg(F.sum(F.col("mass") / F.col("times")).alias("different"), F.sum("mass").alias("mass"), F.sum("links").alias("links"))
+    told = cut_lineage(told.where((F.col("different") * 2 > F.col("mass")) & (F.col("links") * 2 < F.col("mass")) & ~F.col("token").rlike("^" + _BESIDE.pattern)).select("host", "parent", "token"))
+    pairs = told.where("parent <> ''").groupBy("host").agg(F.collect_set(F.concat_ws("\t", "parent", "token")).alias("texts"))
+
+    # equivalence classes: one vector, each token once a page; their order is that of the mean places
+    once = tokens.where("pages > 0 and times = pages")
+    classes = once.groupBy("host", "pages", "v1", "v0").agg(F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token"))).alias("order"))
+    classes = classes.where(F.size("order") >= 2).select("host", "pages", "v1", "v0", F.transform("order", lambda x: x["token"]).alias("order"))
+    # one page has one order
+    known = classes.where("pages > 1").groupBy("host").agg(F.collect_list("order").alias("classes")).join(pairs, "host", "full")
+    known = cut_lineage(known)
+    known = F.broadcast(known) if known.count() <= broadcast_hosts else known
+    measured = cut_lineage(
+        rows.join(known, "host", "left").select("host", "raw_html", "classes", "texts").mapInArrow(_measure_batches, "host string, token string, own long, mass long, total long, wrong long")
+        .groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("own", "mass", "total", "wrong")])
     )
-    return judged.where(F.col("share") >= least_share).groupBy("host").agg(F.collect_set("token").alias("main"))
+    # a class in several orders is none; its pairs of opening and closing tag are always in order
+    is_slot = ~F.col("token").startswith("/") & ~F.contains("token", F.lit(">")) & (F.col("token") != "body")
+    slots = once.where(is_slot).join(classes, ["host", "pages", "v1", "v0"]).join(measured, ["host", "token"])
+    slots = slots.where((F.col("wrong") == 0) | F.array_contains("order", F.concat(F.lit("/"), "token")))
+    everywhere = measured.groupBy("token").agg(*[(F.sum(c) / F.greatest(F.sum("total"), F.lit(1))).alias(f"usual_{c}") for c in ("own", "mass")])
+    # all hosts' share of the same token counts as ``weight`` pages; a cut or rare page's class is judged by it alone
+    loose = tokens.where(is_slot).select("host", "token").join(slots.select("host", "token"), ["host", "token"], "left_anti")
+    zero = F.lit(0).cast("long")
+    judged = slots.select("host", "token", "pages", "own", "mass", "total").unionByName(loose.select("host", "token", zero.alias("pages"), zero.alias("own"), zero.alias("mass"), zero.alias("total")))
+    share = lambda c: (F.col("pages") * F.col(c) / F.greatest("total", F.lit(1)) + weight * F.col(f"usual_{c}")) / (F.col("pages") + weight)
+    judged = judged.join(everywhere, "token").where(share("mass") >= least_share).select("host", "token", share("own").alias("own"))
+    # what is only wrapped around a main slot has no text of its own
+    alone = told.where("parent = ''").select("host", "token", F.lit(True).alias("text"))
+    main = judged.join(alone, ["host", "token"], "left").where((F.col("own") >= least_share) | F.col("text")).groupBy("host").agg(F.collect_set("token").alias("slots"))
+    return main.join(pairs, "host", "left").select("host", F.concat("slots", F.coalesce("texts", F.array().cast("array<string>"))).alias("main"))
 
 
 _END = re.compile(r"[。！？.!?…”’」)）]$")
@@ -209,10 +311,10 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             rows = [(no, line) for no, line in rows if line]
             inside, outside, whole = set(), set(), False
             if page:
-                lines, _, whole = parse(page)
+                lines, _, whole = outline(page)
                 wanted = set(main or ())
-                for slot, line in lines:
-                    (inside if slot in wanted else outside).add(line)
+                for path, line, _ in lines if wanted else ():  # of a host without any template nothing is known
+                    (inside if _inside(path, wanted) else outside).add(line)
             sure = whole and bool(inside)
             if sure:
                 for at, (no, line) in enumerate(rows):
@@ -297,7 +399,7 @@ def furniture_lines(items: DataFrame, broadcast_hosts: int = 200_000) -> DataFra
     their slots are broadcast, beyond that they are joined by a shuffle.
     """
     rows = items.select(F.col("item_id").cast("long").alias("id"), F.lower(host_of(F.coalesce("normalized_url", "url", F.lit("")))).alias("host"), "title", "content", "raw_html").where("id is not null")
-    slots = cut_lineage(main_slots(rows.select("host", F.col("id").alias("key"), "raw_html")))
+    slots = cut_lineage(main_slots(rows.select("host", F.col("id").alias("key"), "raw_html"), broadcast_hosts=broadcast_hosts))
     slots = F.broadcast(slots) if slots.count() <= broadcast_hosts else slots
     joined = rows.where("content is not null and content <> ''").join(slots, "host", "left").select("id", "title", "content", "raw_html", "main")
     out = cut_lineage(joined.mapInArrow(_extract_batches, "kind int, id long, line_no int, key long, a long, b long, residue boolean, known int"))

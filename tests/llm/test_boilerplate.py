@@ -79,3 +79,44 @@ def test_broken_markup():
     lines, _, whole = b.parse("<div class=a><p>one<br>two<div>three</p></div></div>four<script>x")
     assert lines == [("div.a", "one"), ("div.a", "two"), ("div.a", "three"), ("", "four")] and not whole
     assert b.parse("") == ([], [], False)
+
+
+def nested_rows():
+    """Articles most of whose text is in a table or list of the main slot; bylines, shares and links are nested there too."""
+    out = []
+    for i in range(40):
+        own = f"The {chr(97 + i % 26)}{i} party set out from the upper mill before dawn."
+        steps = [f"Step {chr(97 + k)}{chr(97 + i % 26)} of survey {i}: measure the wheel, note the fall and ask the miller, then go on." for k in range(3)]
+        inner = f"<ul class=steps>{''.join(f'<li>{x}</li>' for x in steps)}</ul>" if i % 2 else f"<table class=t>{''.join(f'<tr><td>{x}</td></tr>' for x in steps)}</table>"
+        side, box = "<div class=side><a>Most read</a></div>", f"<div class=article><h1>Story {i}</h1><p>{own}</p>{inner}<div class=by>By the desk, {i} views</div><div class=more><a>Read {chr(97 + i % 26)}{i} next</a></div></div>"
+        page = f"<html><body><div class=wrap><p>Valley Portal</p>{side + box if i % 4 < 2 else box + side}</div></body></html>"
+        lines = ["Valley Portal", "Most read", f"Story {i}", own, *steps, f"By the desk, {i} views", f"Read {chr(97 + i % 26)}{i} next"]
+        out.append((i, f"https://h.example/{i}", f"Story {i}", "\n".join(lines), page))
+    return out
+
+
+def test_text_nested_in_the_main_slot(spark):
+    got = {tuple(r) for r in b.furniture_lines(frame(spark, nested_rows())).collect()}
+    assert got == {(i, no) for i in range(40) for no in (1, 2, 8, 9)}
+
+
+def test_unmarked_containers_are_tokens_of_their_own():
+    assert b.parse("<div class=a><div>x</div></div>")[1] == ["div.a", "div.a>div", "/div.a>div", "/div.a"]
+
+
+def test_cut_pages_teach_no_vectors():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(["h", "h"]), pa.array([1, 2]), pa.array(["<body><div class=a>x</div></body>", "<body><div class=a>x"])], names=["host", "key", "raw_html"])
+    (out,) = b._learn_batches(iter([batch]))
+    assert {r["token"]: r["pages"] for r in out.to_pylist()} == {"body": 1, "div.a": 1, "/div.a": 1}
+
+
+def test_order_of_a_class_is_tested():
+    import pyarrow as pa
+
+    pages = [f"<body>{x}</body>" for x in ("<div class=a>x</div><div class=b>y</div>", "<div class=b>y</div><div class=a>x</div>")]
+    order = [["div.a", "/div.a", "div.b", "/div.b"]]
+    batch = pa.RecordBatch.from_arrays([pa.array(["h", "h"]), pa.array(pages), pa.array([order] * 2), pa.array([None] * 2, pa.list_(pa.string()))], names=["host", "raw_html", "classes", "texts"])
+    (out,) = b._measure_batches(iter([batch]))
+    assert {r["token"]: r["wrong"] for r in out.to_pylist()} == {"div.a": 1, "div.b": 1}
