@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from brinewell.functions.urls import host_of
 from brinewell.llm.mojibake import CHAINS
+from brinewell.operators.html import html_title
 from brinewell.session import cut_lineage
 
 #: Marks of unfilled templates (fixed patterns of common template languages and editors).
@@ -197,16 +198,16 @@ def find_residue(
     HTML titles of its host.
     """
     rows = items.select(
-        F.col(id_col).cast("long").alias("id"), F.coalesce("normalized_url", "url", F.lit("")).alias("url"), "title", "content", F.substring("raw_html", 1, 1500).alias("head")
+        F.col(id_col).cast("long").alias("id"), F.coalesce("normalized_url", "url", F.lit("")).alias("url"), "title", "content", F.when(F.col("raw_html").rlike("(?i)<title"), html_title(F.col("raw_html"))).otherwise("").alias("whole")
     ).where("id is not null")
     rows = rows.withColumn("host", F.lower(host_of(F.col("url"))))
     scanned = cut_lineage(rows.select("id", "url", "host", "title", "content").mapInArrow(_scan(short), "id long, host string, title_bad boolean, body_bad boolean, title_hash long, body_hash long, sentences array<long>"))
     direct = scanned.where("title_bad").select("id", F.lit("title").alias("field_name")).unionByName(scanned.where("body_bad").select("id", F.lit("content").alias("field_name")))
 
     # titles that are the host's own name; one row for each host and name
-    named = rows.select("host", F.trim(F.regexp_extract("head", "<title>[^<]* - ([^<]{2,80})</title>", 1)).alias("name")).where("name <> ''")
+    named = rows.select("host", F.trim(F.regexp_extract("whole", "(?s)^.* - (.{2,80})$", 1)).alias("name")).where("name <> ''")
     names = named.groupBy("host", "name").agg(F.count("*").alias("n")).where(F.col("n") >= min_named).select("host", "name")
-    titled = rows.select("id", "host", F.trim("title").alias("name"), F.trim(F.regexp_extract("head", "<title>([^<]*)</title>", 1)).alias("whole"))
+    titled = rows.select("id", "host", F.trim("title").alias("name"), "whole")
     # on a host of one page its own HTML title tells: the name stands on both sides
     site_titles = titled.join(names, ["host", "name"], "left_semi").select("id").unionByName(
         titled.where("name <> '' and whole = concat(name, ' - ', name)").select("id")

@@ -83,3 +83,10 @@ def test_cleaned(spark):
     out = {x["item_id"]: (x["title"], x["content"], x["host"]) for x in r.without_residue(df).collect()}
     assert out == {1: (None, "A fine text about rivers.", "clash"), 2: ("Rivers", None, "clash"), 3: (None, None, "clash")}
     assert r.find_residue(df.where("false")).collect() == []
+
+
+def test_html_titles_are_read_wherever_they_stand(spark):
+    head = "<html><head><style>" + "p { margin: 0 }\n" * 200 + "</style>"
+    rows = [(i, None, f"https://h9.example/p/{i}", "Valley Portal" if i == 20 else f"Story {i}", f"Text number {i} of the valley story", f"{head}<title>Story {i} - Valley Portal</title></head></html>") for i in range(20, 24)]
+    rows.append((30, None, "https://h8.example/", "Mill Pages", "A text about the mill", f"{head}<title>Mill Pages - Mill Pages</title></head></html>"))
+    assert {tuple(x) for x in r.find_residue(table(spark, rows)).collect()} == {(20, "title"), (30, "title")}
