@@ -4,8 +4,9 @@ Two kinds of evidence. Detectors read each sentence of a field: unfilled placeho
 default titles, filler, error messages and script notices; a sentence that writes about
 such things (it names a lesson, a template, a notation) is none. Host evidence needs no
 word list: a title that is the name its host puts behind every page's title, a title shared
-by many unlike pages of several hosts, and a short body all of whose sentences recur,
-digits aside, under unlike titles, with no term in common with its own title and address.
+by many unlike pages of several hosts that have none of its terms, and a short body all of
+whose sentences recur, digits aside, under unlike titles, with no term in common with its
+own title and address. What is many grows with the pages of the hosts concerned.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -150,6 +152,39 @@ def _terms(text: str) -> set[str]:
     return set(re.findall(r"[a-z]{3,}", t)) | {c[i : i + 2] for c in cjk for i in range(len(c) - 1)}
 
 
+#: Factors and masks of the permutations that unlike bodies are counted by (fixed values, odd factors).
+_FACTORS = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1 for k in range(16)], np.uint64)
+_MASKS = np.array([(k + 1) * 0xD6E8FEB86659FD93 % 2**64 for k in range(16)], np.uint64)
+
+
+def minima(text: str) -> list[int]:
+    """The least of the text's 5-character substrings, white space and case aside, in each of eight pairs of orders.
+
+    Two texts agree in a pair with a probability that is the square of their share of common substrings.
+    """
+    a = np.frombuffer("".join(text.lower().split()).ljust(5).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(a) - 4, np.uint64)
+    for k in range(5):
+        h = (h ^ a[k : len(a) - 4 + k]) * np.uint64(0x9FB21C651E98DF25)
+        h ^= h >> np.uint64(29)
+    least = [int(((h ^ m) * f).min()) for f, m in zip(_FACTORS, _MASKS)]
+    return [_hash(f"{a} {b}") for a, b in zip(least[::2], least[1::2])]
+
+
+def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of (host, title_hash, title, content): whether the body has none of the title's terms, and its minima."""
+    for batch in batches:
+        apart, least = [], []
+        for title, content in zip(batch.column("title").to_pylist(), batch.column("content").to_pylist()):
+            t = (title or "").strip()
+            kept = "\n".join(x for x in (content or "").split("\n") if x.strip() != t)
+            # most titles share a common step or word with any long text: half of the terms tell
+            own = _terms(t)
+            apart.append(not own or 2 * len(own & _terms(kept)) < len(own))
+            least.append(minima(kept))
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("title_hash"), pa.array(apart), pa.array(least, pa.list_(pa.int64()))], names=["host", "title_hash", "apart", "least"])
+
+
 def _scan(short: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -187,15 +222,18 @@ def _scan(short: int):
 
 
 def find_residue(
-    items: DataFrame, id_col: str = "item_id", short: int = 400, min_titles: int = 4, min_pages: int = 8, min_hosts: int = 3, min_named: int = 2
+    items: DataFrame, id_col: str = "item_id", short: int = 400, min_titles: int = 4, min_pages: int = 8, min_hosts: int = 3, min_named: int = 2,
+    title_share: float = 0.002, body_share: float = 0.0005,
 ) -> DataFrame:
     """(id, field_name): the fields ('title', 'content') that hold template residue or error-page text.
 
     Null and empty fields hold none; a repeated row gives one case. ``short`` bounds the length of
     bodies judged by host evidence: all their sentences must recur, digits aside, under at least
-    ``min_titles`` other titles. A title is judged so if at least ``min_pages`` different bodies
-    of ``min_hosts`` hosts have it, or if it is the site name behind at least ``min_named`` pages'
-    HTML titles of its host.
+    ``min_titles`` other titles, and under as many as ``body_share`` of the pages of the hosts that
+    have the sentence. A title is judged so if at least ``min_pages`` unlike bodies of ``min_hosts``
+    hosts, and as many as ``title_share`` of these hosts' pages, have it, and most of them lack most
+    of its terms; copies of one text, edited or not, count as about one body. Or it is so if it is
+    the site name behind at least ``min_named`` pages' HTML titles of its host.
     """
     rows = items.select(
         F.col(id_col).cast("long").alias("id"), F.coalesce("normalized_url", "url", F.lit("")).alias("url"), "title", "content", F.when(F.col("raw_html").rlike("(?i)<title"), html_title(F.col("raw_html"))).otherwise("").alias("whole")
@@ -213,21 +251,41 @@ def find_residue(
         titled.where("name <> '' and whole = concat(name, ' - ', name)").select("id")
     ).select("id", F.lit("title").alias("field_name"))
 
-    # titles shared by many unlike pages
-    shared = (
+    host_pages = cut_lineage(scanned.where("host is not null").groupBy("host").agg(F.count("*").alias("pages")))
+
+    def pages_of(having: DataFrame, key: str) -> DataFrame:
+        """The pages of all hosts that have a key."""
+        return having.select(key, "host").distinct().join(host_pages, "host").groupBy(key).agg(F.sum("pages").alias("of"))
+
+    # titles shared by many unlike pages: those of many different bodies first, then by how unlike these are
+    often = cut_lineage(
         scanned.where("title_hash is not null")
         .groupBy("title_hash")
         .agg(F.approx_count_distinct("host", 0.02).alias("hosts"), F.count_distinct("body_hash").alias("bodies"))
         .where((F.col("hosts") >= min_hosts) & (F.col("bodies") >= min_pages))
+        .select("title_hash")
+    )
+    # of copies one address may have several rows; equal bodies are compared once a host
+    alike = scanned.join(often, "title_hash", "left_semi").groupBy("title_hash", "host", "body_hash").agg(F.min("id").alias("id")).select("id", "title_hash")
+    compared = cut_lineage(
+        rows.join(alike, "id").select("host", "title_hash", "title", "content").mapInArrow(_compare_batches, "host string, title_hash long, apart boolean, least array<long>")
+    )
+    shared = (
+        compared.groupBy("title_hash")
+        .agg(F.least(*[F.count_distinct(F.col("least")[k]) for k in range(len(_FACTORS) // 2)]).alias("bodies"), F.avg(F.col("apart").cast("int")).alias("apart"))
+        .join(pages_of(compared, "title_hash"), "title_hash")
+        .where((F.col("bodies") >= F.greatest(F.lit(min_pages), title_share * F.col("of"))) & (F.col("apart") > 0.5))
     )
     # a masked title may be a series ("notice 12"): only titles without digits are judged by their number
     plain = rows.where("title is not null and not title rlike '[0-9]'").select("id")
     shared_titles = scanned.join(shared.select("title_hash"), "title_hash", "left_semi").select("id").join(plain, "id", "left_semi").select("id", F.lit("title").alias("field_name"))
 
     # short bodies of recurring sentences
-    bodies = scanned.where("sentences is not null").select("id", "title_hash", "sentences")
-    each = bodies.select("id", "title_hash", F.explode("sentences").alias("s"))
-    recurring = each.groupBy("s").agg(F.count_distinct("title_hash").alias("titles")).where(F.col("titles") >= min_titles).select("s", F.lit(1).alias("again"))
+    bodies = scanned.where("sentences is not null").select("id", "host", "title_hash", "sentences")
+    each = bodies.select("id", "host", "title_hash", F.explode("sentences").alias("s"))
+    recurring = each.groupBy("s").agg(F.count_distinct("title_hash").alias("titles")).where(F.col("titles") >= min_titles)
+    of = pages_of(each.join(recurring, "s", "left_semi"), "s")
+    recurring = recurring.join(of, "s", "left").where(F.col("titles") >= body_share * F.coalesce("of", F.lit(0))).select("s", F.lit(1).alias("again"))
     judged = each.join(recurring, "s", "left").groupBy("id").agg(F.min(F.coalesce("again", F.lit(0))).alias("all"))
     low = judged.where("all = 1").select("id", F.lit("content").alias("field_name"))
 

@@ -90,3 +90,18 @@ def test_html_titles_are_read_wherever_they_stand(spark):
     rows = [(i, None, f"https://h9.example/p/{i}", "Valley Portal" if i == 20 else f"Story {i}", f"Text number {i} of the valley story", f"{head}<title>Story {i} - Valley Portal</title></head></html>") for i in range(20, 24)]
     rows.append((30, None, "https://h8.example/", "Mill Pages", "A text about the mill", f"{head}<title>Mill Pages - Mill Pages</title></head></html>"))
     assert {tuple(x) for x in r.find_residue(table(spark, rows)).collect()} == {(20, "title"), (30, "title")}
+
+
+def test_shared_titles_need_unlike_bodies_without_their_terms(spark):
+    import random
+
+    pick = random.Random(7)
+    words = ["".join(pick.choices("bcdfghklmnprstvaeiou", k=7)) for _ in range(2000)]
+    text = lambda: "the " + " ".join(pick.choices(words, k=90)) + "."
+    one = text()
+    rows = [(i, None, f"https://h{i % 3}.example/p/{i}", "River survey opens", f"{one} Edited copy {chr(97 + i) * 9}.", None) for i in range(10)]  # copies
+    rows += [(i, None, f"https://h{i % 3}.example/p/{i}", "Quarry opens", f"The quarry opens. {text()}", None) for i in range(20, 32)]  # a real title that recurs
+    rows += [(i, None, f"https://h{i % 3}.example/p/{i}", "Welcome page", text(), None) for i in range(40, 52)]
+    frame = table(spark, rows)
+    assert {tuple(x) for x in r.find_residue(frame).collect()} == {(i, "title") for i in range(40, 52)}
+    assert r.find_residue(frame, title_share=0.5).collect() == []  # too few for hosts of so many pages
