@@ -39,6 +39,8 @@ cls AS (SELECT item_id, least(item_id, coalesce(min(b) FILTER (j = 1), item_id))
 deg AS (SELECT a, count(DISTINCT c) AS n_links FROM e JOIN cls ON item_id = b WHERE j < 1 GROUP BY a),
 reach(a, b) AS (SELECT item_id, item_id FROM n UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
 SELECT item_id, (SELECT min(b) FROM reach r WHERE r.a = cls.item_id) AS group_id, coalesce(n_links, 0) AS n_links, n_copies FROM cls LEFT JOIN deg ON deg.a = item_id
+UNION ALL SELECT item_id, min(item_id) OVER w, 0, count(*) OVER w FROM page_items WHERE content IS NOT NULL AND item_id NOT IN (SELECT item_id FROM n) WINDOW w AS (PARTITION BY content)
+UNION ALL SELECT item_id, item_id, 0, 1 FROM page_items WHERE content IS NULL
 """
 )
 

@@ -47,6 +47,65 @@ def test_all_pairs_are_found(spark, texts, similarity):
     assert got == brute(texts, similarity)
 
 
+def links(spark, texts, similarity, per_block):
+    df = spark.createDataFrame(texts, "item_id long, content string")
+    members, found = nd._classes(df, "item_id", "content", similarity, 5, 200, per_block)
+    ids = {}
+    for r in members.collect():
+        ids.setdefault(r["fp"], []).append(r["id"])
+    out = {(min(a, b), max(a, b)) for same in ids.values() for a in same for b in same if a != b}
+    return out | {(min(a, b), max(a, b)) for r in found.collect() for a in ids[r["fp_a"]] for b in ids[r["fp_b"]]}
+
+
+@pytest.mark.parametrize("per_block", [4, 5])
+def test_all_pairs_are_found_with_more_tokens_a_block(spark, texts, per_block):
+    assert links(spark, texts, 0.7, per_block) == brute(texts, 0.7)
+
+
+@pytest.mark.parametrize("hot, levels", [(2, 3), (2, 1), (5, 2)])
+def test_hot_keys_lose_no_pair(spark, texts, monkeypatch, hot, levels):
+    monkeypatch.setattr(nd, "HOT", hot)
+    monkeypatch.setattr(nd, "LEVELS", levels)
+    furniture = " " + "all rights reserved by the department of quiet rivers and slow trains, mail to the office" * 2
+    rows = [(i, t + furniture) for i, t in texts if t]
+    assert links(spark, rows, 0.7, 3) == brute(rows, 0.7)
+
+
+def test_edited_texts_at_the_threshold_are_found(spark):
+    """Recall on pairs made to lie just above the similarity, at every level of tokens a block."""
+    rnd = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    rows = []
+    for k in range(400):
+        n = rnd.randint(210, 1500)
+        base = [rnd.choice(letters) for _ in range(n)]
+        edited = list(base)
+        while True:
+            last = list(edited)
+            edited[rnd.randrange(n)] = rnd.choice(letters)
+            a, b = tokens("".join(base)), tokens("".join(edited))
+            if len(a & b) / len(a | b) < 0.7:
+                break
+        rows += [(2 * k, "".join(base)), (2 * k + 1, "".join(last))]
+    wanted = {(2 * k, 2 * k + 1) for k in range(400)}
+    for per_block in (3, 4, 5):
+        assert len(links(spark, rows, 0.7, per_block) & wanted) >= 0.99 * len(wanted)
+
+
+def test_the_sieve_bounds_the_distance():
+    rnd = random.Random(5)
+    import numpy as np
+
+    for n in (40, 150, 700, 5000):
+        h = np.unique(np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64))
+        band = len(h).bit_length() - 1
+        other = np.unique(np.concatenate([h[: int(0.85 * n)], np.array([rnd.getrandbits(64) for _ in range(int(0.1 * n))], np.uint64)]))
+        far = np.array([rnd.getrandbits(64) for _ in range(n)], np.uint64)
+        word = lambda x: np.array([nd.sieve(np.unique(x), band if n >= 64 else 0)], np.uint64)
+        assert nd.sifted(word(h), word(other), 0.7).all() and not nd.sifted(word(h), word(far), 0.7).any()
+        assert not nd.sifted(word(h), word(h[: n // 2]), 0.7).any()
+
+
 def test_repeated_rows_and_null_ids(spark, texts):
     rows = texts[:10] + texts[:10] + [(None, texts[0][1])]
     df = spark.createDataFrame(rows, "item_id long, content string")
@@ -69,6 +128,13 @@ def test_groups(spark, texts):
         parent[max(a, b)] = min(a, b)
     assert {i: r["group_id"] for i, r in rows.items()} == {i: root(i) for i in rows}
     assert rows[900]["n_copies"] == 3 and rows[900]["n_links"] == 0
+    assert set(rows) == {i for i, _ in texts} and rows[903]["n_copies"] == rows[904]["n_copies"] == 1
+
+
+def test_groups_of_short_and_null_texts(spark):
+    df = spark.createDataFrame([(1, "short"), (2, "short"), (3, ""), (4, ""), (5, None), (6, None), (7, "other"), (None, "short")], "item_id long, content string")
+    got = {tuple(r) for r in nd.near_duplicate_groups(df, "item_id", "content", 0.7).collect()}
+    assert got == {(1, 1, 0, 2), (2, 1, 0, 2), (3, 3, 0, 2), (4, 3, 0, 2), (5, 5, 0, 1), (6, 6, 0, 1), (7, 7, 0, 1)}
 
 
 def test_empty_table(spark):
