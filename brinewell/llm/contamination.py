@@ -26,26 +26,17 @@ _BASE = 0x9E3779B97F4A7C15
 _FOLD: list[np.ndarray] = []
 
 
-def _fold_table() -> np.ndarray:
-    """For every code point its lower-case letter or digit, 0 for all else."""
+def _letters() -> np.ndarray:
+    """For every code point whether it is a letter or a digit."""
     if not _FOLD:
-        table = np.zeros(0x110000, np.uint32)
-        for c in range(0x110000):
-            if 0xD800 <= c < 0xE000:
-                continue
-            low = chr(c).lower()
-            kept = [x for x in low if x.isalnum()]
-            if kept:
-                table[c] = ord(kept[0])
-        _FOLD.append(table)
+        _FOLD.append(np.array([not 0xD800 <= c < 0xE000 and chr(c).isalnum() for c in range(0x110000)]))
     return _FOLD[0]
 
 
 def fold(text: str) -> np.ndarray:
-    """Code points of the text's letters and digits, lower-cased."""
-    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    a = _fold_table()[a]
-    return a[a != 0]
+    """Code points of the text's letters and digits, the whole text lower-cased first: some letters' lower case depends on their place."""
+    a = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    return a[_letters()[a]]
 
 
 def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:

@@ -69,3 +69,13 @@ def test_long_texts_are_read_in_chunks(monkeypatch):
     whole = set(zip(*map(tuple, c._kept(codes, 20, 21))))
     monkeypatch.setattr(c, "_CHUNK", 700)
     assert {h for h, _ in whole} <= {h for h in c._kept(codes, 20, 21)[0]}
+
+
+def test_lower_case_that_depends_on_the_place(spark):
+    u = "ΟΔΟΣ ΤΟΥ ΠΟΤΑΜΟΥ ΚΑΙ Ο ΜΙΚΡΟΣ ΜΥΛΟΣ ΣΤΟΝ ΛΟΦΟ ΤΟΥ ΧΩΡΙΟΥ İstanbul"
+    docs = [(1, "πριν. " + u.lower() + " μετά"), (2, u), (3, u.replace(" ", "")), (4, u.replace("Σ ", "σ "))]
+    items = [(1, u), (2, u.lower())]
+    a, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    for chars in (20_000_000, 0):
+        rows = c.leaked_items(a, b, broadcast_chars=chars).collect()
+        assert {(r["doc_id"], r["item_id"]) for r in rows} == brute(docs, items)
