@@ -14,8 +14,7 @@ def parse_datetime(text: Column) -> Column:
     """The first 26 characters read as 'T' seconds, 'T' fractions, space seconds or a date; an offset gives null."""
     t = F.substring(text, 1, 26)
     time = F.when(t.rlike("^\\d{4}-\\d{1,2}-\\d{1,2}T\\d{1,2}:\\d{1,2}:\\d{1,2}$"), _ntz(t, "y-M-d'T'H:m:s"))
-    fine = F.when(t.rlike("^\\d{4}-\\d{1,2}-\\d{1,2}T\\d{1,2}:\\d{1,2}:\\d{1,2}\\.\\d{1,6}$"), F.expr("try_cast(NULL as timestamp_ntz)"))
-    fine = F.when(t.rlike("^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}\\.\\d{1,6}$"), t.try_cast("timestamp_ntz")).otherwise(fine)
+    fine = F.when(t.rlike("^\\d{4}-\\d{2}-\\d{2}T\\d{2}:\\d{2}:\\d{2}\\.\\d{1,6}$"), t.try_cast("timestamp_ntz"))
     space = F.when(t.rlike("^\\d{4}-\\d{1,2}-\\d{1,2} \\d{1,2}:\\d{1,2}:\\d{1,2}$"), _ntz(t, "y-M-d H:m:s"))
     date = F.when(t.rlike("^\\d{4}-\\d{1,2}-\\d{1,2}$"), _ntz(t, "y-M-d"))
     return F.coalesce(time, fine, space, date)

@@ -52,11 +52,8 @@ SKIP_EXTENSIONS = (
     "css", "js", "png", "jpg", "jpeg", "gif", "svg", "ico", "woff2?", "ttf", "eot", "mp4", "mp3",
     "webp", "bmp", "pdf", "docx?", "xlsx?", "pptx?", "zip", "rar", "7z", "tar", "gz",
 )
-#: Path steps that lead to no article (fixed values).
-SKIP_STEPS = (
-    "search", "login", "logout", "register", "user", "admin", "wp-admin", "wp-content/(?!uploads)", "wp-json", "api",
-    "feed", "rss", "comment", "reply", "trackback", "tag/", "category/", "author/", "page/\\d+", "date/",
-)
+#: Path steps that lead to no article (a fixed pattern).
+SKIP_STEPS = "/(search|login|logout|register|user|admin|wp-admin|wp-content/(?!uploads)|wp-json|api|feed|rss|comment|reply|trackback|tag/|category/|author/|page/\\d+|date/)\\b"
 #: File endings of attachments (fixed values).
 ATTACHMENT_EXTENSIONS = ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "rar")
 
@@ -68,7 +65,7 @@ def has_extension(url: Column, extensions: tuple[str, ...]) -> Column:
 
 def skipped_path(url: Column) -> Column:
     """The address has a skipped path step, an unfilled '$[' or 'nextcid=', in any case."""
-    return url.rlike("(?i)/(" + "|".join(SKIP_STEPS) + ")\\b|\\$\\[|nextcid=")
+    return url.rlike(f"(?i){SKIP_STEPS}|\\$\\[|nextcid=")
 
 
 def crawlable_href(href: Column) -> Column:

@@ -42,10 +42,14 @@ def page_cap(pages: DataFrame, site: str, order: str, per_site: int, overall: in
     return kept.orderBy(order).limit(overall) if overall else kept
 
 
-def expand_frontier(pages: DataFrame, visited: DataFrame, hosts: list[str]) -> DataFrame:
-    """(url): new addresses from (url, hrefs): sane, resolved, allowed, not skipped, normalised, not visited."""
-    links = pages.select("url", F.explode("hrefs").alias("href")).where(crawlable_href(F.col("href")))
-    absolute = links.select(resolve_url(F.col("url"), F.trim("href")).alias("u")).where(F.col("u").rlike("(?i)^https?://"))
+def expand_frontier(links: DataFrame, visited: DataFrame, hosts: list[str]) -> DataFrame:
+    """(url): new addresses from rows (url, href): sane, resolved, allowed, not skipped, normalised, not visited.
+
+    Rows with a null address or href give none. Absolute hrefs need no resolving, so Python sees the others only.
+    """
+    links = links.select("url", F.trim("href").alias("href")).where(crawlable_href(F.col("href")) & F.col("url").isNotNull())
+    ready = F.col("href").rlike("^https?://[^/\\s\\x00-\\x1f][^\\s\\x00-\\x1f]*$") & ~F.col("href").rlike("[?;](#|$)")
+    absolute = links.where(ready).select(F.col("href").alias("u")).unionByName(links.where(~ready).select(resolve_url(F.col("url"), F.col("href")).alias("u")).where(F.col("u").rlike("(?i)^https?://")))
     fit = absolute.where(in_hosts(F.col("u"), hosts) & ~has_extension(F.col("u"), SKIP_EXTENSIONS) & ~skipped_path(F.col("u")))
     return fit.select(normalize_url(F.col("u")).alias("url")).distinct().join(visited.select("url"), "url", "left_anti")
 
@@ -55,7 +59,7 @@ def crawl(start: DataFrame, pages: DataFrame, hosts: list[str], depth: int = 3)
     seen = cut_lineage(start.select(normalize_url(F.col("url")).alias("url")).distinct().withColumn("depth", F.lit(0)))
     frontier = seen
     for level in range(1, depth + 1):
-        here = pages.join(frontier.select("url"), "url", "left_semi")
+        here = pages.join(frontier.select("url"), "url", "left_semi").select("url", F.explode("hrefs").alias("href"))
         frontier = cut_lineage(expand_frontier(here, seen, hosts).withColumn("depth", F.lit(level)))
         if frontier.isEmpty():
             break
@@ -63,14 +67,20 @@ def crawl(start: DataFrame, pages: DataFrame, hosts: list[str], depth: int = 3)
     return seen
 
 
-def crawl_stats(items: DataFrame, minutes: float) -> DataFrame:
-    """One row: pages, pages per minute, mean content bytes, attachment links, empty contents."""
+def crawl_stats(items: DataFrame, minutes: float, skipped: Column | None = None) -> DataFrame:
+    """One row: pages, pages per minute, mean content bytes, attachment links, empty contents, skipped rows.
+
+    Rows for which ``skipped`` is true (addresses that the crawl passed over) count as such only.
+    """
+    passed = F.coalesce(skipped, F.lit(False)) if skipped is not None else F.lit(False)
+    pages = F.count_if(~passed)
     return items.agg(
-        F.count("*").alias("pages"),
-        F.round(F.count("*") / F.lit(max(minutes, 0.01)), 1).alias("pages_per_minute"),
-        F.round(F.coalesce(F.sum(F.octet_length("content")), F.lit(0)) / F.greatest(F.count("*"), F.lit(1)), 1).alias("mean_bytes"),
-        F.coalesce(F.sum(F.size(F.coalesce("attachment_links", F.array().cast("array<string>")))), F.lit(0)).alias("attachments"),
-        F.count_if(F.coalesce(F.trim("content"), F.lit("")) == "").alias("empty_pages"),
+        pages.alias("pages"),
+        F.round(pages / F.lit(max(minutes, 0.01)), 1).alias("pages_per_minute"),
+        F.round(F.coalesce(F.sum(F.when(~passed, F.octet_length("content"))), F.lit(0)) / F.greatest(pages, F.lit(1)), 1).alias("mean_bytes"),
+        F.coalesce(F.sum(F.when(~passed, F.size(F.coalesce("attachment_links", F.array().cast("array<string>"))))), F.lit(0)).alias("attachments"),
+        F.count_if(~passed & (F.coalesce(F.trim("content"), F.lit("")) == "")).alias("empty_pages"),
+        F.count_if(passed).alias("skipped"),
     )
 
 

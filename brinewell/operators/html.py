@@ -1,19 +1,21 @@
-"""Extraction from HTML: native regular expressions where they suffice, an Arrow UDF on the standard parser where a tree is needed."""
+"""Extraction from HTML: native regular expressions where they suffice, the standard parser on Arrow batches where a tree is needed."""
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 from urllib.parse import urljoin
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from brinewell.functions.dates import scan_date
-from brinewell.functions.urls import ATTACHMENT_EXTENSIONS
+from brinewell.functions.dates import SCAN_CRAWL, iso, scan_date, url_date
+from brinewell.functions.urls import ATTACHMENT_EXTENSIONS, content_hash, normalize_url, snapshot_path
+from brinewell.operators.crawl import site_of_url
 
 #: Containers tried for the main text, in order (fixed values).
 CONTENT_SELECTORS = (
@@ -30,13 +32,25 @@ _VOID = frozenset("area base br col embed hr img input link meta param source tr
 _CLOSES_P = frozenset("address article aside blockquote div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul".split())
 
 
+#: Attributes of <meta> that name a time, and what they contain then (fixed values).
+META_TIMES = (("property", "date"), ("name", "publish"), ("name", "pubdate"))
+#: Characters that a chosen container, and one chosen by its paragraphs, must have more of (fixed values).
+LEAST_SELECTED, LEAST_SCORED = 120, 80
+#: Characters of a page's text that are searched for a time (fixed value).
+TIME_TEXT = 8192
+#: Where a crawler looks for a title, in order (fixed values).
+CRAWL_TITLE_SELECTORS = ("h1", ".title", "title")
+_WANTED = frozenset((*CONTENT_SELECTORS, *TITLE_SELECTORS, *TIME_SELECTORS, "body"))
+_UNREAD = frozenset(("script", "style"))
+
+
 class Node:
-    """An element: tag, attributes, children (elements and texts)."""
+    """An element: tag, attributes, children (elements and texts); ``gone`` once it is removed."""
 
-    __slots__ = ("tag", "attrs", "children", "parent")
+    __slots__ = ("tag", "attrs", "children", "parent", "gone")
 
     def __init__(self, tag: str, attrs: dict[str, str], parent: Node | None):
-        self.tag, self.attrs, self.parent, self.children = tag, attrs, parent, []
+        self.tag, self.attrs, self.parent, self.children, self.gone = tag, attrs, parent, [], False
 
     def walk(self) -> Iterator[Node]:
         stack = [self]
@@ -51,24 +65,29 @@ class Node:
             x = stack.pop()
             if isinstance(x, str):
                 yield x
-            elif x is self or x.tag not in skip:
+            elif not x.gone and (x is self or x.tag not in skip):
                 stack += reversed(x.children)
 
-    def fits(self, selector: str) -> bool:
-        if selector[0] == ".":
-            return selector[1:] in self.attrs.get("class", "").split()
-        if selector[0] == "#":
-            return self.attrs.get("id") == selector[1:]
-        return self.tag == selector
+    def text(self) -> str:
+        return " ".join("".join(self.texts()).split())
 
-    def first(self, selector: str) -> Node | None:
-        return next((n for n in self.walk() if n.fits(selector)), None)
+    def there(self) -> bool:
+        """Neither it nor what it is in is removed."""
+        node = self
+        while node is not None and not node.gone:
+            node = node.parent
+        return node is None
 
 
 class _Tree(HTMLParser):
+    """Builds the tree and notes, in the same pass, the elements that anything is asked of."""
+
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.root = self.at = Node("", {}, None)
+        self.hits: dict[str, list[Node]] = defaultdict(list)
+        self.metas: list[dict[str, str]] = []
+        self.anchors: list[Node] = []
 
     def handle_starttag(self, tag, attrs):
         if tag in _CLOSES_P and self.at.tag == "p":
@@ -79,6 +98,13 @@ class _Tree(HTMLParser):
         self.at.children.append(node)
         if tag not in _VOID:
             self.at = node
+        if tag == "meta":
+            self.metas.append(node.attrs)
+        elif tag == "a":
+            self.anchors.append(node)
+        names = {tag, "#" + node.attrs.get("id", ""), *("." + c for c in node.attrs.get("class", "").split())}
+        for name in names & _WANTED:
+            self.hits[name].append(node)
 
     def handle_endtag(self, tag):
         node = self.at
@@ -91,12 +117,12 @@ class _Tree(HTMLParser):
         self.at.children.append(data)
 
 
-def parse_tree(page: str) -> Node:
+def parse_tree(page: str) -> _Tree:
     """A tolerant tree of a page; broken markup never raises."""
     tree = _Tree()
     tree.feed(page)
     tree.close()
-    return tree.root
+    return tree
 
 
 def clean_lines(text: str) -> str:
@@ -104,78 +130,140 @@ def clean_lines(text: str) -> str:
     return "\n".join(x for x in (" ".join(line.split()) for line in text.splitlines()) if x)
 
 
+def _first_text(tree: _Tree, selectors: tuple[str, ...]) -> str:
+    """The text of the first selector's first element, if it has any, else that of the next selector's."""
+    return next((t for t in (tree.hits[s][0].text() for s in selectors if tree.hits[s]) if t), "")
+
+
+def _letters(node: Node) -> int:
+    return sum(len(t.strip()) for t in node.texts(_UNREAD))
+
+
+def scored_container(root: Node) -> Node | None:
+    """The element whose paragraphs have the most text that isn't links: a paragraph counts fully for its parent, by half for the parent's."""
+    score: dict[int, float] = defaultdict(float)
+    nodes: dict[int, Node] = {}
+    for p in root.walk():
+        if p.tag not in ("p", "pre", "td", "blockquote") or p.parent is None:
+            continue
+        n = _letters(p) - sum(_letters(a) for a in p.walk() if a.tag == "a")
+        for node, part in ((p.parent, 1.0), (p.parent.parent, 0.5)):
+            if node is not None and n > 0:
+                score[id(node)] += part * n
+                nodes[id(node)] = node
+    return nodes[max(score, key=score.get)] if score else None
+
+
+def _container(tree: _Tree) -> Node:
+    """The main text's element: by selector, else by its paragraphs, else the body, else the whole page."""
+    for s in CONTENT_SELECTORS:
+        if tree.hits[s] and sum(len(t.strip()) for t in tree.hits[s][0].texts()) > LEAST_SELECTED:
+            return tree.hits[s][0]
+    scored = scored_container(tree.root)
+    if scored is not None and _letters(scored) > LEAST_SCORED:
+        return scored
+    return tree.hits["body"][0] if tree.hits["body"] else tree.root
+
+
+def _resolved(base: str, href: str) -> str | None:
+    try:
+        return urljoin(base, href)
+    except ValueError:
+        return None
+
+
 def extract(page: str | None, url: str | None) -> dict:
-    """Title, content, text of the date's place, out-links, anchor texts and attachment links of a page.
+    """What a page says: title, heading (a crawler's title), content, places of its time in order, links.
 
+    ``meta_times`` and ``time_texts`` are candidates, the first that is a date counts. ``out_links``,
+    ``anchor_texts`` and ``attachment_links`` leave out empty, script, mail and fragment targets and
+    repetitions of an absolute address; ``links`` has all anchors with an href, their first text alone.
     Null and empty pages give empty values. The removed tags of the chosen container are gone before
-    links are read, as the content is taken first.
+    times and links are read, as the content is taken first.
     """
-    out = {"title": "", "content": "", "meta_time": None, "time_text": "", "out_links": [], "anchor_texts": [], "attachment_links": []}
+    out = dict.fromkeys(EXTRACTED.names, "") | {c: [] for c in _LISTS} | {"links": []}
     if not page:
         return out
-    root = parse_tree(page)
-    for s in TITLE_SELECTORS:
-        node = root.first(s)
-        text = "".join(node.texts()).strip() if node else ""
-        if text:
-            out["title"] = " ".join(text.split())
-            break
-    for node in root.walk():
-        if node.tag == "meta" and node.attrs.get("content", "").strip():
-            prop, name = node.attrs.get("property", "").lower(), node.attrs.get("name", "").lower()
-            if "pubdate" in prop or "date" in prop or "publish" in name or "pubdate" in name:
-                out["meta_time"] = node.attrs["content"].strip()
-                break
-    chosen = None
-    for s in CONTENT_SELECTORS:
-        node = root.first(s)
-        if node and len("".join(t.strip() for t in node.texts())) > 120:
-            chosen = node
-            break
-    chosen = chosen or root.first("body") or root
-    for node in list(chosen.walk()):
-        node.children = [c for c in node.children if isinstance(c, str) or c.tag not in REMOVED_TAGS]
+    tree = parse_tree(page)
+    out["title"], out["heading"] = _first_text(tree, TITLE_SELECTORS), _first_text(tree, CRAWL_TITLE_SELECTORS)
+    out["links"] = [(_resolved(url or "", a.attrs["href"]), next((t.strip() for t in a.texts()), "")) for a in tree.anchors if "href" in a.attrs]
+    out["meta_times"] = [m["content"].strip() for m in tree.metas if m.get("content", "").strip() and any(part in m.get(at, "").lower() for at, part in META_TIMES)]
+    chosen = _container(tree)
+    for node in chosen.walk():
+        node.gone = node.gone or (node is not chosen and node.tag in REMOVED_TAGS)
     out["content"] = clean_lines("\n".join(chosen.texts()))
-    for s in TIME_SELECTORS:
-        node = root.first(s)
-        if node:
-            out["time_text"] = "".join(node.texts())
-            break
-    else:
-        out["time_text"] = "".join(root.texts(frozenset(("script", "style"))))[:8192]
-    seen = set()
-    for node in root.walk():
-        href = node.attrs.get("href", "").strip() if node.tag == "a" else ""
-        if not href or href.startswith(("javascript:", "#", "mailto:")):
-            continue
-        try:
-            absolute = urljoin(url or "", href)
-        except ValueError:
-            continue
-        if absolute in seen:
-            continue
-        seen.add(absolute)
-        out["anchor_texts"].append(" ".join("".join(node.texts()).split()))
-        (out["attachment_links"] if absolute.lower().endswith(tuple("." + e for e in ATTACHMENT_EXTENSIONS)) else out["out_links"]).append(absolute)
+    places = [next((n for n in tree.hits[s] if n.there()), None) for s in TIME_SELECTORS]
+    out["time_texts"] = ["".join(n.texts()) for n in places if n is not None] + ["".join(tree.root.texts(_UNREAD))[:TIME_TEXT]]
+    hrefs = [(a.attrs.get("href", "").strip(), a) for a in tree.anchors if a.there()]
+    kept: dict[str | None, Node] = {}
+    for href, a in hrefs:
+        if href and not href.startswith(("javascript:", "#", "mailto:")):
+            kept.setdefault(_resolved(url or "", href), a)
+    kept.pop(None, None)
+    files = tuple("." + e for e in ATTACHMENT_EXTENSIONS)
+    out["anchor_texts"] = [a.text() for a in kept.values()]
+    out["attachment_links"] = [u for u in kept if u.lower().endswith(files)]
+    out["out_links"] = [u for u in kept if not u.lower().endswith(files)]
     return out
 
 
+_LISTS = ("meta_times", "time_texts", "out_links", "anchor_texts", "attachment_links")
 EXTRACTED = T.StructType(
-    [T.StructField(c, T.StringType()) for c in ("title", "content", "meta_time", "time_text")]
-    + [T.StructField(c, T.ArrayType(T.StringType())) for c in ("out_links", "anchor_texts", "attachment_links")]
+    [T.StructField(c, T.StringType()) for c in ("title", "heading", "content")]
+    + [T.StructField(c, T.ArrayType(T.StringType())) for c in _LISTS]
+    + [T.StructField("links", T.ArrayType(T.StructType([T.StructField("url", T.StringType()), T.StructField("text", T.StringType())])))]
 )
 
 
-@F.pandas_udf(EXTRACTED)
-def extract_page(page: pd.Series, url: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([extract(p, u) for p, u in zip(page, url)], columns=EXTRACTED.names)
+def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batch's columns, the last two of them page and address, with ``parsed``."""
+    kind = pa.struct(
+        [(c, pa.string()) for c in ("title", "heading", "content")] + [(c, pa.list_(pa.string())) for c in _LISTS] + [("links", pa.list_(pa.struct([("url", pa.string()), ("text", pa.string())])))]
+    )
+    for batch in batches:
+        rows = [extract(p, u) for p, u in zip(batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist())]
+        for r in rows:
+            r["links"] = [{"url": u, "text": t} for u, t in r["links"]]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(rows, kind)], names=[*batch.schema.names[:-2], "parsed"])
+
+
+def first_date(texts: Column, read: Callable[[Column], Column]) -> Column:
+    """The first text's date that can be read."""
+    return F.get(F.filter(F.transform(texts, read), lambda d: d.isNotNull()), 0)
 
 
 def parse_pages(pages: DataFrame, html_col: str = "raw_html", url_col: str = "url") -> DataFrame:
-    """pages with ``parsed`` (title, content, links, ...) and ``publish_time``: metadata's date, else the first in the time's place."""
-    parsed = pages.withColumn("parsed", extract_page(F.col(html_col), F.col(url_col)))
-    meta = F.coalesce(F.try_to_timestamp(F.replace("parsed.meta_time", F.lit("T"), F.lit(" "))).cast("timestamp_ntz"), scan_date(F.col("parsed.meta_time")))
-    return parsed.withColumn("publish_time", F.coalesce(meta, scan_date(F.col("parsed.time_text"))))
+    """pages with ``parsed`` (title, content, links, ...) and ``publish_time``: the first date that metadata, the time's places or the text have."""
+    schema = T.StructType([*pages.schema.fields, T.StructField("parsed", EXTRACTED)])
+    parsed = pages.select("*", F.col(html_col).alias("__page"), F.col(url_col).alias("__url")).mapInArrow(_extract_batches, schema)
+    iso = lambda t: F.coalesce(F.try_to_timestamp(F.replace(t, F.lit("T"), F.lit(" "))).cast("timestamp_ntz"), scan_date(t))
+    return parsed.withColumn("publish_time", F.coalesce(first_date(F.col("parsed.meta_times"), iso), first_date(F.col("parsed.time_texts"), lambda t: scan_date(t))))
+
+
+def is_html(content_type: Column) -> Column:
+    """A content type of HTML, or none."""
+    return F.coalesce(F.trim(content_type), F.lit("")).eqNullSafe("") | F.contains(F.lower(content_type), F.lit("text/html"))
+
+
+def crawl_items(pages: DataFrame, sites: DataFrame, as_of: Column, min_chars: int = 50) -> DataFrame:
+    """The items that a crawl of pages (url, raw_html, status_code, content_type) gives, with all fields of ITEM_TYPE.
+
+    Other content types than HTML, and contents under ``min_chars``, give no item. The time is the address's
+    date, else the first in the content; site and category are those of ``sites`` (site, domains, category),
+    a crawl's configuration; links are all anchors', split by their ending.
+    """
+    rows = parse_pages(pages.where(is_html(F.col("content_type"))).select("url", "raw_html", "status_code"))
+    rows = site_of_url(rows.where(F.length("parsed.content") >= min_chars), sites)
+    rows = rows.join(F.broadcast(sites.select("site", "category")), "site", "left")
+    absolute = F.filter("parsed.links", lambda x: x["url"].isNotNull())
+    day = F.coalesce(url_date(F.col("url")).cast("timestamp_ntz"), scan_date(F.col("parsed.content"), SCAN_CRAWL))
+    of = lambda kind: F.transform(F.filter(absolute, lambda x: classify_link(x["url"]) == kind), lambda x: x["url"])
+    return rows.select(
+        "url", normalize_url(F.col("url")).alias("normalized_url"), F.col("parsed.heading").alias("title"), "parsed.content", "raw_html",
+        F.coalesce("site", F.lit("")).alias("source_site"), F.coalesce("category", F.lit("")).alias("category"), iso(day).alias("publish_time"),
+        F.transform(absolute, lambda x: x["text"]).alias("anchor_texts"), of("page").alias("out_links"), of("attachment").alias("attachment_links"),
+        iso(as_of).alias("crawl_time"), content_hash(F.col("parsed.content")).alias("content_hash"), snapshot_path(F.col("url")).alias("snapshot_path"), F.col("status_code").cast("int").alias("status_code"),
+    )
 
 
 def html_title(page: Column) -> Column:

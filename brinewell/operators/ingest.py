@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from brinewell.functions.urls import normalize_url
 from brinewell.session import cut_lineage
 
 SKIP_INVALID, INSERT, UPDATE, SKIP = "skip_invalid", "insert", "update", "skip"
@@ -80,9 +81,11 @@ def assign_ids(new_rows: DataFrame, stored: DataFrame, id_col: str = "id", order
     """New rows with ids after the stored maximum, in arrival order.
 
     Rows are range-partitioned by arrival and numbered inside partitions; a partition's offset is the
-    count of those before it, so no single task holds all rows.
+    count of those before it, so no single task holds all rows. The numbering is stored: made anew, the
+    ranges might be cut elsewhere.
     """
-    sorted_ = new_rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id())
+    ranged = new_rows.repartitionByRange(order).sortWithinPartitions(order)
+    sorted_ = cut_lineage(ranged.withColumn("__p", F.spark_partition_id()).withColumn("__m", F.monotonically_increasing_id()))
     counts = sorted_.groupBy("__p").agg(F.count("*").alias("__n"), F.min("__m").alias("__low"))
     # one row for each partition
     offsets = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.partitionBy(F.lit(1)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
@@ -134,6 +137,22 @@ def attachment_text(file_text: Column, content: Column) -> Column:
     return F.coalesce(F.nullif(file_text, F.lit("")), content, F.lit(""))
 
 
+def first_lines(items: DataFrame, limit: int, order: str = "line_no") -> DataFrame:
+    """The first rows of an import in line order, a distributed top-k; 0 takes all."""
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    return items.orderBy(order).limit(limit) if limit else items
+
+
+def attachment_rows(items: DataFrame, order: str = "item_id", column: str = "attachment_links") -> DataFrame:
+    """One row for each attachment link, in the order of items and links: line_no, item_id, file_url, normalized_file_url.
+
+    line_no is a struct of the item's order and the link's place.
+    """
+    links = explode_attachments(items, column).where("file_url is not null")
+    return links.select(F.struct(order, "pos").alias("line_no"), *[c for c in items.columns if c != column], "file_url", attachment_key(normalize_url(F.col("file_url")), F.col("file_url")).alias("normalized_file_url"))
+
+
 def reindexed(decided: DataFrame) -> DataFrame:
     """The rows whose postings must be rebuilt."""
     return decided.where(F.col("action").isin(INSERT, UPDATE))
@@ -149,6 +168,12 @@ def dry_run(items: DataFrame, key: str = "normalized_url") -> DataFrame:
     return items.groupBy(F.when(_blank(F.col(key)), "fail").otherwise("insert").alias("action")).agg(F.count("*").alias("cnt"))
 
 
+def attachment_dry_run(states: DataFrame) -> DataFrame:
+    """One row of counts without fetching or parsing: every new attachment would be downloaded and indexed."""
+    new = F.count_if(~F.col("step").isin("ignored", "skip"))
+    return states.agg(F.count_if(F.col("step") != "ignored").alias("found"), new.alias("new"), F.count_if(F.col("step") == "skip").alias("skipped"), new.alias("downloaded"), new.alias("indexed"))
+
+
 def attachment_states(found: DataFrame, stored: DataFrame, extensions: tuple[str, ...] = ("pdf", "docx", "xlsx"), force: bool = False, key: str = "normalized_file_url") -> DataFrame:
     """found with ``step``: what the attachment pipeline does with each row.
 

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 from datetime import datetime, timedelta
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewell.functions.dates import day
@@ -61,6 +62,11 @@ def recent_queries(query_logs: DataFrame, limit: int = 20) -> DataFrame:
     return query_logs.orderBy(F.desc("created_at"), F.desc("id")).select("id", "query_text", "query_type", "result_count", "created_at").limit(limit)
 
 
+def recent_with_total(query_logs: DataFrame, limit: int = 20) -> DataFrame:
+    """``recent_queries`` with ``total``, the number of all queries."""
+    return recent_queries(query_logs, limit).crossJoin(F.broadcast(query_logs.agg(F.count("*").alias("total"))))  # one row
+
+
 def type_distribution(query_logs: DataFrame) -> DataFrame:
     """(query_type, cnt, pct) of the known types, zero-filled; pct is rounded, 0 without queries. Others vanish."""
     counts = query_logs.agg(*[F.count_if(F.col("query_type") == t).alias(t) for t in QUERY_TYPES])
@@ -93,6 +99,20 @@ def click_through(query_logs: DataFrame, click_logs: DataFrame) -> DataFrame:
     return joined.groupBy("query_type").agg(F.count("*").alias("queries"), F.count("n").alias("clicked"), F.coalesce(F.sum("n"), F.lit(0)).alias("clicks"))
 
 
-def append_query_log(query_logs_path: str, rows: DataFrame) -> None:
-    """Append log rows to a Parquet table."""
-    rows.write.mode("append").parquet(query_logs_path)
+def query_log_row(spark: SparkSession, q: str, query_type: str, as_of: datetime, result_count: int, user_id: int | None = None, **filters: str | None) -> DataFrame:
+    """The log row of one search. ``filters`` is a JSON object of the filters that were used, null without any."""
+    used = {k: v for k, v in filters.items() if v}
+    row = (user_id, q, query_type, json.dumps(used, ensure_ascii=False) if used else None, result_count, as_of.isoformat(sep=" "))
+    out = spark.createDataFrame([row], "user_id long, query_text string, query_type string, filters string, result_count int, created_at string")
+    return out.withColumn("created_at", F.col("created_at").cast("timestamp_ntz"))
+
+
+def append_query_log(query_logs_path: str, rows: DataFrame, required: bool = True) -> bool:
+    """Append log rows to a Parquet table; where the log isn't ``required`` a failure is reported, not raised: the search goes on."""
+    try:
+        rows.write.mode("append").parquet(query_logs_path)
+    except Exception:  # noqa: BLE001 - a search doesn't fail for its log
+        if required:
+            raise
+        return False
+    return True

@@ -1,8 +1,10 @@
-"""Full-text retrieval straight from documents.
+"""Full-text retrieval: over a stored index, and straight from documents that have none.
 
-Two passes: corpus statistics (one row, partial aggregation) and scoring. Token arrays are
-made in the row, so neither pass shuffles the corpus; the statistics row is broadcast, a
-page of results is a top-k. Filters are applied after the statistics: they don't score.
+``indexed`` and ``indexed_phrase`` read the postings of the query's terms, ``result_page`` the
+stored fields of one page of results. ``multi_match`` and ``phrase_match`` scan documents in two
+passes: corpus statistics (one row, partial aggregation) and scoring. Token arrays are made in
+the row, so neither pass shuffles the corpus; the statistics row is broadcast, a page of results
+is a top-k. Filters are applied after the statistics: they don't score.
 """
 
 from __future__ import annotations
@@ -14,11 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.functions.text import highlight, query_terms, sanitize, snippet, tokenize_in_order
-from brinewell.operators.index import K1, B
+from brinewell.operators.index import Index, _idf, _tf_part, search_index, search_index_phrase
 
 PAGE_BOOSTS = {"title": 4.0, "anchor_text": 2.0, "content": 1.0}
 RELATED_BOOSTS = {"title": 3.0, "content": 1.0, "anchor_text": 2.0}
 DOCUMENT_BOOSTS = {"file_name": 3.0, "file_text": 1.0, "parent_title": 2.0}
+PHRASE_BOOSTS = {"title": 4.0, "content": 1.0}
 
 
 def check_page(q: str, page: int, page_size: int) -> None:
@@ -29,12 +32,32 @@ def check_page(q: str, page: int, page_size: int) -> None:
         raise ValueError("page >= 1 and 1 <= page_size <= 100")
 
 
-def _idf(n: Column, df: Column) -> Column:
-    return F.log(F.lit(1.0) + (n - df + F.lit(0.5)) / (df + F.lit(0.5)))
+def _fields_of(index: Index, hits: DataFrame, id_col: str, equal: dict[str, str | None]) -> DataFrame:
+    """The hits whose stored fields fit exact, non-scoring filters; only the filtered columns are read."""
+    wanted = {c: v for c, v in equal.items() if v}
+    if wanted:
+        hits = hits.join(filtered(index.docs, **wanted).select("doc_id"), "doc_id", "left_semi")
+    return hits.withColumnRenamed("doc_id", id_col)
 
 
-def _tf_part(tf: Column, dl: Column, avg: Column) -> Column:
-    return tf / (tf + F.lit(K1) * (F.lit(1 - B) + F.lit(B) * dl / avg))
+def indexed(index: Index, q: str, boosts: dict[str, float], id_col: str, **equal: str | None) -> DataFrame:
+    """(id, score) of the documents that hold a term of the query, of a stored index; none for a query without terms."""
+    return _fields_of(index, search_index(index, query_terms(q, in_order=True) or [""], boosts), id_col, equal)
+
+
+def indexed_phrase(index: Index, q: str, id_col: str, boosts: dict[str, float] | None = None, **equal: str | None) -> DataFrame:
+    """(id, score) of the documents with the query's terms in a row in a field, of a stored index."""
+    return _fields_of(index, search_index_phrase(index, query_terms(q, in_order=True) or [""], boosts or PHRASE_BOOSTS), id_col, equal)
+
+
+def result_page(index: Index, hits: DataFrame, id_col: str, q: str, page: int = 1, page_size: int = 10) -> DataFrame:
+    """One page of hits, best score first, with the stored fields of its at most 100 documents."""
+    check_page(q, page, page_size)
+    rows = page_of(hits, id_col, page, page_size).select(id_col, "score").collect()  # at most page_size rows
+    found = hits.sparkSession.createDataFrame([tuple(r) for r in rows], hits.select(id_col, "score").schema)
+    # by their ids the page's documents are found in few row groups
+    stored = index.docs.where(F.col("doc_id").isin(*[r[0] for r in rows])) if rows else index.docs.where(F.lit(False))
+    return stored.withColumnRenamed("doc_id", id_col).join(F.broadcast(found), id_col)
 
 
 def _clauses(docs: DataFrame, fields: list[str], terms: list[str], count: Callable[[Column, Column, list[str]], list[Column]]) -> tuple[DataFrame, DataFrame]:
@@ -99,7 +122,7 @@ def _phrase_count(tokens: Column, held: Column, terms: list[str]) -> Column:
 
 def phrase_match(docs: DataFrame, q: str, boosts: dict[str, float] | None = None) -> DataFrame:
     """Documents with the query's terms in a row in a field; ``score`` sums the matching fields' boosted BM25."""
-    boosts = boosts or {"title": 4.0, "content": 1.0}
+    boosts = boosts or PHRASE_BOOSTS
     terms, fields = query_terms(q, in_order=True), list(boosts)
     if not terms:
         return docs.where(F.lit(False)).withColumn("score", F.lit(0.0))
@@ -131,15 +154,60 @@ def wildcard_match(docs: DataFrame, pattern: str, field: str = "title") -> DataF
     return docs.where(hit).withColumn("score", F.lit(1.0))
 
 
-def regex_filter(docs: DataFrame, pattern: str, field: str = "title") -> DataFrame:
-    """Rows whose field holds a match; a pattern that is no regular expression is searched as text.
+def java_pattern(pattern: str) -> str | None:
+    """A Python regular expression in Java's spelling; None if it is none, or one that Java has no spelling for.
 
-    Named groups of the (?P<name>...) kind are rewritten.
+    Named groups and references back to them are rewritten, underscores of their names left out. Whether
+    Java takes the rest is told by compiling it, on the driver.
     """
     try:
-        re.compile(pattern)
-        java = pattern.replace("(?P<", "(?<").replace("(?P=", "\\k<")
+        names = re.compile(pattern).groupindex
     except re.error:
+        return None
+    java_name = {n: f"g{i}{re.sub('[^A-Za-z0-9]', '', n)}" for n, i in names.items()}
+    out, at, in_class = [], 0, False
+    while at < len(pattern):
+        m = re.compile(r"\\(?s:.)|\(\?P<(\w+)>|\(\?P=(\w+)\)|\(\?\((\w+)\)|[\[\]&]").match(pattern, at)
+        piece = m.group() if m else pattern[at]
+        at += len(piece)
+        if m and in_class and piece[0] == "(":  # an ordinary character there
+            at -= len(piece) - 1
+            piece = "("
+        elif m and m.group(1):
+            piece = f"(?<{java_name[m.group(1)]}>"
+        elif m and m.group(2):
+            piece = f"\\k<{java_name[m.group(2)]}>"
+        elif m and m.group(3):
+            return None  # a conditional
+        elif piece == "[":
+            # Java nests classes, Python doesn't; a class may begin with a bracket
+            piece = "\\[" if in_class else "["
+            if not in_class:
+                in_class = True
+                lead = re.compile(r"\^?\]?").match(pattern, at).group()
+                piece += lead.replace("]", "\\]")
+                at += len(lead)
+        elif piece == "]":
+            piece, in_class = ("]", False) if in_class else ("\\]", False)
+        elif piece == "&" and in_class:
+            piece = "\\&"
+        elif piece == "\\Z":
+            piece = "\\z"
+        out.append(piece)
+    # \\w, \\d and \\s of Unicode, and \\n as the only line end, as in Python
+    return "(?dU)" + "".join(out)
+
+
+def regex_filter(docs: DataFrame, pattern: str, field: str = "title") -> DataFrame:
+    """Rows whose field holds a match; a pattern that is no regular expression, in Python or in Java, is searched as text."""
+    java = java_pattern(pattern)
+    if java is not None:
+        jvm = docs.sparkSession.sparkContext._jvm
+        try:
+            jvm.java.util.regex.Pattern.compile(java)
+        except Exception:  # noqa: BLE001 - any refusal of Java's
+            java = None
+    if java is None:
         java = "\\Q" + pattern.replace("\\E", "\\E\\\\E\\Q") + "\\E"
     return docs.where(F.col(field).rlike(java))
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+import os
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +12,9 @@ from pyspark.sql import functions as F
 
 from brinewell.functions.text import join_anchors
 from brinewell.functions.urls import normalize_url
-from brinewell.session import load
+from brinewell.operators.index import Index, build_index, index_exists, read_index, write_index
+from brinewell.operators.search import DOCUMENT_BOOSTS, PAGE_BOOSTS
+from brinewell.session import load, shared_dir
 
 #: The time that stands for now.
 AS_OF = datetime(2025, 12, 31, 12, 0, 0)
@@ -56,10 +61,36 @@ def attachment_docs(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def _stored(spark: SparkSession, d: str, kind: str, docs: Callable[[], tuple[DataFrame, str, list[str]]]) -> Index:
+    """The index of a data folder, built by the first query of a session that needs it and read by all."""
+    whole = f"{spark.sparkContext.applicationId} {os.path.abspath(d)}"
+    path = f"{shared_dir(spark).rstrip('/')}/index-{hashlib.sha256(whole.encode()).hexdigest()[:16]}/{kind}"
+    if not index_exists(spark, path):
+        frame, id_col, fields = docs()
+        write_index(build_index(frame, id_col, fields, [c for c in frame.columns if c != id_col]), path, "overwrite")
+    return read_index(spark, path)
+
+
+def page_index(spark: SparkSession, d: str) -> Index:
+    return _stored(spark, d, "pages", lambda: (page_docs(spark, d), "page_id", list(PAGE_BOOSTS)))
+
+
+def document_index(spark: SparkSession, d: str) -> Index:
+    return _stored(spark, d, "documents", lambda: (attachment_docs(spark, d), "attachment_id", list(DOCUMENT_BOOSTS)))
+
+
 def recrawl(spark: SparkSession, d: str) -> DataFrame:
     """The crawl items as one incoming batch in id order."""
     return load(spark, d, "page_items").select(F.col("item_id").alias("line_no"), "normalized_url", "url", "title", "content_hash", "category")
 
 
-def normalized_links(spark: SparkSession, d: str) -> DataFrame:
-    return load(spark, d, "page_links").select("id", normalize_url(F.col("from_url")).alias("src"), normalize_url(F.col("to_url")).alias("dst"), "anchor_text")
+#: An example crawl configuration: site, category, domains, start addresses, page cap.
+SITES = [
+    ("library", "lib", ["lib.yunheng.example"], ["https://lib.yunheng.example/", "https://lib.yunheng.example/notice/"], 500),
+    ("news", "news", ["news.yunheng.example", "media.yunheng.example"], ["https://news.yunheng.example/"], 1500),
+    ("whole", "other", ["yunheng.example"], ["https://www.yunheng.example/"], 8000),
+]
+
+
+def sites(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(SITES, "site string, category string, domains array<string>, start_urls array<string>, max_pages int")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,8 +11,9 @@ from pyspark.sql import functions as F
 from brinewell.functions import dates, text, urls
 from brinewell.operators import crawl, graph, html, index, ingest, log_analytics, ranking, search
 from brinewell.operators.orphans import site_orphans
-from brinewell.plans.bindings import AS_OF, attachment_docs, keyword_weights, page_docs, recrawl
-from brinewell.session import cut_lineage, load
+from brinewell.plans.bindings import AS_OF, attachment_docs, document_index, keyword_weights, page_docs, page_index, recrawl, sites
+from brinewell.session import cut_lineage, load, shared_dir
+from brinewell.sources import files, jsonl
 
 Q = "样本标注 workshop 风险评估"
 PHRASE = "风险评估"
@@ -78,6 +80,11 @@ def recent_queries(spark, d):
     return log_analytics.recent_queries(load(spark, d, "query_logs").distinct(), 20)
 
 
+@query
+def recent_with_total(spark, d):
+    return log_analytics.recent_with_total(load(spark, d, "query_logs").distinct(), 10)
+
+
 @query
 def type_distribution(spark, d):
     return log_analytics.type_distribution(load(spark, d, "query_logs"))
@@ -130,47 +137,67 @@ def postings(spark, d):
 
 
 @query
-def search_indexed(spark, d):
-    idx = index.build_index(page_docs(spark, d), "page_id", list(search.PAGE_BOOSTS))
-    return _score6(index.search_index(idx, text.query_terms(Q, in_order=True), search.PAGE_BOOSTS), "doc_id")
+def refreshed_index(spark, d):
+    """The index of pages whose every fifth title was another one, after these came in."""
+    docs = page_docs(spark, d)
+    late = F.col("page_id") % 5 == 0
+    before = docs.withColumn("title", F.when(late, F.lit("an earlier title")).otherwise(F.col("title"))).where("page_id % 10 <> 0")
+    changed = docs.where(late).select("page_id")
+    return index.refresh_index(index.build_index(before, "page_id", ["title", "content"]), changed, docs, "page_id", ["title", "content"]).terms
 
 
 # --- retrieval ------------------------------------------------------------------------------
 
 
+def _page_hits(spark, d, q=Q, boosts=search.PAGE_BOOSTS, **equal):
+    idx = page_index(spark, d)
+    return idx, search.indexed(idx, q, boosts, "page_id", **equal)
+
+
 @query
 def search_pages(spark, d):
-    return _score6(search.page_of(search.multi_match(page_docs(spark, d), Q, search.PAGE_BOOSTS), "page_id", 1, 20), "page_id", "title")
+    idx, hits = _page_hits(spark, d)
+    return _score6(search.result_page(idx, hits, "page_id", Q, 1, 20), "page_id", "title")
 
 
 @query
 def search_pages_all(spark, d):
+    return _score6(_page_hits(spark, d)[1], "page_id")
+
+
+@query
+def search_unindexed(spark, d):
     return _score6(search.multi_match(page_docs(spark, d), Q, search.PAGE_BOOSTS), "page_id")
 
 
 @query
 def search_pages_filtered(spark, d):
-    hits = search.filtered(search.multi_match(page_docs(spark, d), Q, search.PAGE_BOOSTS), source_site="news.yunheng.example", category="")
-    return _score6(hits, "page_id")
+    return _score6(_page_hits(spark, d, source_site="news.yunheng.example", category="")[1], "page_id")
 
 
 @query
 def search_page_two(spark, d):
-    return _score6(search.page_of(search.multi_match(page_docs(spark, d), Q, search.PAGE_BOOSTS), "page_id", 2, 10), "page_id")
+    idx, hits = _page_hits(spark, d)
+    return _score6(search.result_page(idx, hits, "page_id", Q, 2, 10), "page_id")
 
 
 @query
 def search_total(spark, d):
-    return search.total_hits(search.multi_match(page_docs(spark, d), Q, search.PAGE_BOOSTS))
+    return search.total_hits(_page_hits(spark, d)[1])
 
 
 @query
 def search_documents(spark, d):
-    return _score6(search.filtered(search.multi_match(attachment_docs(spark, d), Q, search.DOCUMENT_BOOSTS), file_type="pdf"), "attachment_id")
+    return _score6(search.indexed(document_index(spark, d), Q, search.DOCUMENT_BOOSTS, "attachment_id", file_type="pdf"), "attachment_id")
 
 
 @query
 def search_phrase(spark, d):
+    return _score6(search.indexed_phrase(page_index(spark, d), PHRASE, "page_id"), "page_id")
+
+
+@query
+def search_phrase_unindexed(spark, d):
     return _score6(search.phrase_match(page_docs(spark, d), PHRASE), "page_id")
 
 
@@ -202,21 +229,23 @@ def snippets(spark, d):
 
 @query
 def page_results(spark, d):
-    hits = search.page_of(search.multi_match(page_docs(spark, d), Q, search.PAGE_BOOSTS), "page_id", 1, 10)
-    return search.page_result(hits, Q).withColumn("score", F.round("score", 6))
+    idx, hits = _page_hits(spark, d)
+    return search.page_result(search.result_page(idx, hits, "page_id", Q, 1, 10), Q).withColumn("score", F.round("score", 6))
 
 
 @query
 def document_results(spark, d):
-    hits = search.page_of(search.multi_match(attachment_docs(spark, d), Q, search.DOCUMENT_BOOSTS), "attachment_id", 1, 10)
-    return search.document_result(hits, Q).withColumn("score", F.round("score", 6))
+    idx = document_index(spark, d)
+    hits = search.indexed(idx, Q, search.DOCUMENT_BOOSTS, "attachment_id")
+    return search.document_result(search.result_page(idx, hits, "attachment_id", Q, 1, 10), Q).withColumn("score", F.round("score", 6))
 
 
 # --- ranking --------------------------------------------------------------------------------
 
 
 def _candidates(spark, d, size=20):
-    return cut_lineage(search.page_of(search.multi_match(page_docs(spark, d), Q, search.PAGE_BOOSTS), "page_id", 1, size))
+    idx, hits = _page_hits(spark, d)
+    return cut_lineage(search.result_page(idx, hits, "page_id", Q, 1, size))
 
 
 @query
@@ -238,16 +267,19 @@ def preference_scores(spark, d):
 def ranked_search(spark, d):
     found = _candidates(spark, d).withColumnRenamed("score", "bm25")
     vsm = ranking.vsm_scores(found, "page_id", Q)
-    shown = found.join(vsm, "page_id").withColumn("snippet", text.snippet(F.col("content"), [])).withColumn("pagerank", F.lit(0.0))
+    ranks = _ranks(spark, d).select(F.col("url").alias("normalized_url"), "pagerank")
+    shown = found.join(vsm, "page_id").withColumn("snippet", text.snippet(F.col("content"), []))
+    shown = shown.withColumn("normalized_url", urls.normalize_url(F.col("url"))).join(ranks, "normalized_url", "left")
     scored = ranking.with_profile(shown, load(spark, d, "users"), 12, keyword_weights(spark))
-    return ranking.blend(scored, "page_id").select("page_id", F.round("bm25", 6).alias("bm25"), F.round("vsm", 4).alias("vsm"), "preference", F.round("final_score", 3).alias("final_score"))
+    return ranking.blend(scored, "page_id").select("page_id", F.round("bm25", 6).alias("bm25"), F.round("vsm", 4).alias("vsm"), F.round(F.coalesce("pagerank", F.lit(0.0)), 9).alias("pagerank"), "preference", "final_score")
 
 
 @query
 def related_pages(spark, d):
-    hits = search.page_of(search.multi_match(page_docs(spark, d), "学位授予", search.RELATED_BOOSTS), "page_id", 1, 5)
+    idx, found = _page_hits(spark, d, "学位授予", search.RELATED_BOOSTS)
+    hits = search.result_page(idx, found, "page_id", "学位授予", 1, 5)
     scored = ranking.with_profile(hits.withColumn("snippet", F.lit("")), load(spark, d, "users"), 12, keyword_weights(spark))
-    return ranking.related_rank(scored, "page_id").select("page_id", F.round("final_score", 3).alias("final_score"))
+    return ranking.related_rank(scored, "page_id").select("page_id", "final_score")
 
 
 @query
@@ -316,7 +348,27 @@ def html_links(spark, d):
 @query
 def parsed_pages(spark, d):
     rows = html.parse_pages(load(spark, d, "page_items").select("item_id", "url", "raw_html"))
-    return rows.select("item_id", "parsed.title", F.length("parsed.content").alias("chars"), F.size("parsed.out_links").alias("links"), "publish_time")
+    return rows.select("item_id", "parsed.title", F.size("parsed.links").alias("links"), F.date_format("publish_time", "yyyy-MM-dd HH:mm").alias("published"))
+
+
+@query
+def parsed_texts(spark, d):
+    rows = html.parse_pages(load(spark, d, "page_items").select("item_id", "url", "raw_html"))
+    return rows.select("item_id", F.length("parsed.content").alias("chars"), F.size("parsed.out_links").alias("links"), F.size("parsed.attachment_links").alias("attachments"))
+
+
+@query
+def crawled_items(spark, d):
+    fetched = load(spark, d, "page_items").select("url", "raw_html", "status_code", F.when(F.col("item_id") % 9 == 0, "application/pdf").when(F.col("item_id") % 2 == 0, "text/html; charset=utf-8").alias("content_type"))
+    items = html.crawl_items(fetched, sites(spark), F.lit(AS_OF.isoformat(sep=" ")).cast("timestamp_ntz"))
+    return items.select("url", "normalized_url", "title", "source_site", "category", "crawl_time", "snapshot_path", "status_code", F.size("anchor_texts").alias("anchors"), F.size("attachment_links").alias("attachments"))
+
+
+@query
+def scanned_dates(spark, d):
+    c = F.col("content")
+    fmt = "yyyy-MM-dd HH:mm:ss"
+    return load(spark, d, "page_items").select("item_id", F.date_format(dates.scan_date(c), fmt).alias("any"), F.date_format(dates.scan_date(c, dates.SCAN_CRAWL), fmt).alias("crawl"))
 
 
 @query
@@ -332,22 +384,83 @@ def link_degrees(spark, d):
     return graph.link_degrees(graph.link_edges(load(spark, d, "page_links")))
 
 
+def _ranks(spark, d):
+    return graph.pagerank(graph.link_edges(load(spark, d, "page_links")), rounds=5)
+
+
 @query
 def pagerank(spark, d):
-    return graph.pagerank(graph.link_edges(load(spark, d, "page_links")), rounds=5).select("url", F.round("pagerank", 9).alias("pagerank"))
+    return _ranks(spark, d).select("url", F.round("pagerank", 9).alias("pagerank"))
 
 
 @query
 def frontier(spark, d):
-    links = load(spark, d, "page_links")
-    found = links.groupBy(F.col("from_url").alias("url")).agg(F.collect_set("to_url").alias("hrefs"))
+    found = load(spark, d, "page_links").select(F.col("from_url").alias("url"), F.col("to_url").alias("href"))
+    visited = load(spark, d, "pages").select(F.col("normalized_url").alias("url"))
+    return crawl.expand_frontier(found, visited, ["news.yunheng.example", "lib.yunheng.example", "jwc.yunheng.example"])
+
+
+@query
+def frontier_html(spark, d):
+    items = load(spark, d, "page_items").where("raw_html is not null")
+    found = items.select("url", F.explode(html.html_links(F.col("raw_html"))).alias("a")).select("url", F.col("a.href").alias("href"))
     visited = load(spark, d, "pages").select(F.col("normalized_url").alias("url"))
     return crawl.expand_frontier(found, visited, ["news.yunheng.example", "lib.yunheng.example", "jwc.yunheng.example"])
 
 
+@query
+def crawl_depths(spark, d):
+    items = load(spark, d, "page_items").where("raw_html is not null")
+    pages = items.select(urls.normalize_url(F.col("url")).alias("url"), html.html_links(F.col("raw_html"))["href"].alias("hrefs"))
+    start = load(spark, d, "pages").where("id % 50 = 0").select("url")
+    return crawl.crawl(start, pages, ["news.yunheng.example", "lib.yunheng.example", "jwc.yunheng.example"], 2)
+
+
+@query
+def crawl_seeds(spark, d):
+    return crawl.seeds(sites(spark))
+
+
+@query
+def crawl_plan(spark, d):
+    return crawl.plan_batches(sites(spark).select(F.col("site").alias("name"), F.col("site").alias("source_site"), "max_pages"))
+
+
+@query
+def sites_of_urls(spark, d):
+    return crawl.site_of_url(load(spark, d, "pages").select("id", "url"), sites(spark)).select("id", "site")
+
+
 # --- crawl and ingest -----------------------------------------------------------------------
 
 
+@query
+def items_roundtrip(spark, d):
+    """The crawl items written as JSON lines and read again."""
+    items = load(spark, d, "page_items")
+    path = f"{shared_dir(spark).rstrip('/')}/items-{uuid.uuid4().hex}"
+    jsonl.write_items(items.select(*html.ITEM_TYPE.names), path)
+    good, rejects = jsonl.read_items(spark, path)
+    rows = good.select("url", "title", F.length("content").alias("chars"), "content_hash", F.size("out_links").alias("links"), "publish_time", "status_code", F.size("present").alias("keys"), F.lit("item").alias("kind"))
+    return rows.unionByName(rejects.select(F.col("value").alias("url"), F.lit("reject").alias("kind")), allowMissingColumns=True)
+
+
+@query
+def snapshot_files(spark, d):
+    """One page of each address as a file, read again below its folder."""
+    pages = load(spark, d, "page_items").where("raw_html <> '' and url is not null").groupBy("url").agg(F.max_by("raw_html", "item_id").alias("raw_html"))
+    root = f"{shared_dir(spark).rstrip('/')}/files-{uuid.uuid4().hex}"
+    written = files.write_snapshot_files(pages, root)
+    back = files.confined(files.read_snapshots(spark, root)).select(F.col("path").alias("snapshot_path"), F.sha2("html", 256).alias("hash"))
+    return written.join(back, "snapshot_path").select("url", "snapshot_path", "bytes", "hash")
+
+
+@query
+def distinct_links(spark, d):
+    links = text.first_occurrences(F.col("out_links"))
+    return load(spark, d, "page_items").select("item_id", F.size(links).alias("links"), F.get(links, 0).alias("first"))
+
+
 @query
 def site_page_caps(spark, d):
     return crawl.page_cap(load(spark, d, "pages").select("id", "source_site"), "source_site", "id", 5)
@@ -355,7 +468,7 @@ def site_page_caps(spark, d):
 
 @query
 def crawl_stats(spark, d):
-    return crawl.crawl_stats(load(spark, d, "page_items"), 12.5)
+    return crawl.crawl_stats(load(spark, d, "page_items"), 12.5, urls.skipped_path(F.col("url")) | (F.col("status_code") >= 400))
 
 
 @query
@@ -393,6 +506,12 @@ def ingest_stats(spark, d):
     return ingest.action_stats(ingest.decide(recrawl(spark, d), load(spark, d, "pages").select("normalized_url", "content_hash")))
 
 
+@query
+def ingest_first_lines(spark, d):
+    first = ingest.first_lines(recrawl(spark, d), 200)
+    return ingest.decide(first, load(spark, d, "pages").select("normalized_url", "content_hash")).select("line_no", "action")
+
+
 @query
 def ingest_dry_run(spark, d):
     return ingest.dry_run(load(spark, d, "page_items"))
@@ -422,6 +541,29 @@ def attachment_stats(spark, d):
     return ingest.attachment_stats(ingest.attachment_states(_found_attachments(spark, d), load(spark, d, "attachments").select("normalized_file_url", "parse_status")))
 
 
+@query
+def attachment_dry_run(spark, d):
+    return ingest.attachment_dry_run(ingest.attachment_states(_found_attachments(spark, d), load(spark, d, "attachments").select("normalized_file_url", "parse_status")))
+
+
+def _decided_attachments(spark, d):
+    rows = ingest.attachment_rows(load(spark, d, "page_items").select("item_id", "title", "attachment_links"))
+    texts = load(spark, d, "documents").select(F.col("doc_id").alias("item_id"), urls.content_hash(F.col("text")).alias("content_hash"))
+    stored = load(spark, d, "attachments").select("normalized_file_url", "content_hash")
+    return ingest.decide(rows.join(texts, "item_id", "left"), stored, key="normalized_file_url")
+
+
+@query
+def attachment_decide(spark, d):
+    return _decided_attachments(spark, d).select("item_id", F.col("line_no.pos").alias("pos"), "action")
+
+
+@query
+def attachment_upsert(spark, d):
+    stored = load(spark, d, "attachments").select("normalized_file_url", F.col("parent_title").alias("title"), "content_hash").where("normalized_file_url <> ''")
+    return ingest.upsert(stored, _decided_attachments(spark, d), ["title", "content_hash"], key="normalized_file_url")
+
+
 @query
 def document_details(spark, d):
     a = attachment_docs(spark, d)

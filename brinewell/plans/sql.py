@@ -3,11 +3,10 @@
 from __future__ import annotations
 
 from brinewell.functions.text import STOP_WORDS, query_terms
-from brinewell.functions.urls import SKIP_EXTENSIONS
 from brinewell.operators.index import K1, B
 from brinewell.operators.ranking import VSM_WEIGHTS
 from brinewell.operators.search import DOCUMENT_BOOSTS, PAGE_BOOSTS, RELATED_BOOSTS
-from brinewell.plans.bindings import AS_OF, KEYWORDS
+from brinewell.plans.bindings import AS_OF, KEYWORDS, SITES
 from brinewell.plans.queries import PHRASE, Q
 
 _NOW = f"TIMESTAMP '{AS_OF.isoformat(sep=' ')}'"
@@ -174,6 +173,60 @@ states AS (SELECT item_id, pos, CASE WHEN NOT (regexp_matches(file_url, '(?i)^ht
   WHEN indexed = 1 THEN 'skip' WHEN NOT downloaded THEN CASE WHEN k IS NOT NULL THEN 'download_failed' ELSE 'failed_new' END
   WHEN coalesce(trim(text), '') = '' THEN 'parse_failed' ELSE 'indexed' END AS step FROM f LEFT JOIN known ON k = nk)"""
 
+# what the reports compare with is written out here once more, apart from the engine's own lists
+_SKIP = r"css|js|png|jpg|jpeg|gif|svg|ico|woff2?|ttf|eot|mp4|mp3|webp|bmp|pdf|docx?|xlsx?|pptx?|zip|rar|7z|tar|gz"
+_STEPS = r"/(search|login|logout|register|user|admin|wp-admin|wp-json|api|feed|rss|comment|reply|trackback|tag/|category/|author/|page/\d+|date/)\b|\$\[|nextcid="
+
+
+def _skipped(u: str) -> str:
+    uploads = f"regexp_replace({u}, '(?i)/wp-content/uploads', '/', 'g')"
+    return rf"(regexp_matches({u}, '(?i){_STEPS}') OR regexp_matches({uploads}, '(?i)/wp-content/\b'))"
+
+
+def _new_links(links: str) -> str:
+    """New addresses of rows (url, href), hrefs absolute, from the host's root, or relative to the address."""
+    return rf"""h AS (SELECT url, trim(href) AS href FROM ({links}) WHERE url IS NOT NULL AND trim(href) <> '' AND regexp_matches(trim(href), '^[\x00-\x7f]') AND NOT regexp_matches(trim(href), '(?i)^(javascript:|mailto:|tel:|#)')),
+u AS (SELECT DISTINCT CASE WHEN regexp_matches(href, '(?i)^[a-z][a-z0-9+.-]*:') THEN href WHEN starts_with(href, '//') THEN regexp_extract(url, '^[a-z]+:', 0) || href
+  WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]+', 0) || href ELSE regexp_extract(url, '^[a-z]+://[^/?#]+[^?#]*/', 0) || href END AS u FROM h),
+k AS (SELECT DISTINCT {_norm('u')} AS url FROM u WHERE regexp_matches(u, '(?i)^https?://') AND regexp_replace(lower({_host('u')}), '^www\.', '') IN ('news.yunheng.example', 'lib.yunheng.example', 'jwc.yunheng.example')
+  AND NOT regexp_matches(u, '(?i)\.({_SKIP})$') AND NOT {_skipped('u')})"""
+
+
+_HREFS = r"SELECT {url} AS url, regexp_extract(unnest(regexp_extract_all(raw_html, '(?is)<a\s[^>]*?href=\"[^\"]*\"[^>]*>.*?</a>')), '(?i)href=\"([^\"]*)\"', 1) AS href FROM page_items WHERE raw_html IS NOT NULL"
+
+_GRAPH = [
+    f"pe AS (SELECT DISTINCT {_norm('from_url')} AS src, {_norm('to_url')} AS dst FROM page_links), pf AS (SELECT * FROM pe WHERE src <> dst)",
+    "pv AS (SELECT src AS v FROM pf UNION SELECT dst FROM pf), pn AS (SELECT cast(count(*) AS DOUBLE) AS nodes FROM pv), pd AS (SELECT src, count(*) AS deg FROM pf GROUP BY src), pw AS (SELECT pf.src, pf.dst, pd.deg FROM pf JOIN pd USING (src))",
+    "r0 AS (SELECT v, 1 / nodes AS r FROM pv, pn)",
+] + [
+    f"""r{k} AS (SELECT v, cast(0.15 AS DOUBLE) / nodes + cast(0.85 AS DOUBLE) * (coalesce(got, 0) + lost / nodes) AS r FROM pv LEFT JOIN (SELECT dst AS v, sum(r / deg) AS got FROM pw JOIN r{k - 1} ON v = src GROUP BY dst) USING (v), pn,
+  (SELECT coalesce(sum(r), 0) AS lost FROM r{k - 1} WHERE v NOT IN (SELECT src FROM pd)))"""
+    for k in range(1, 6)
+]
+
+
+def _scan(text: str, fractions: str, only: tuple[int, ...] = range(7)) -> str:
+    """The first date of a text, in the order of the spellings."""
+    day, time = r"\d{{4}}{a}\d{{1,2}}{b}\d{{1,2}}{c}", r"\d{1,2}:\d{1,2}"
+    dash, slash, han = (day.format(a=a, b=a, c=c) for a, c in (("-", ""), ("/", ""), ("", "")))
+    han = r"\d{4}年\d{1,2}月\d{1,2}日"
+    spellings = [(dash + r"\s+" + time + r":\d{1,2}", "%Y-%m-%d %H:%M:%S"), (dash + r"\s+" + time, "%Y-%m-%d %H:%M"), (dash, "%Y-%m-%d"), (slash + r"\s+" + time, "%Y/%m/%d %H:%M"), (slash, "%Y/%m/%d"), (han + r"\s*" + time, "%Y年%m月%d日 %H:%M"), (han, "%Y年%m月%d日")]
+    one = lambda find, read: f"try_strptime(regexp_replace(regexp_replace(nullif(regexp_extract({text}, '{find}', 0), ''), '\\s+', ' ', 'g'), '日 ?(\\d)', '日 \\1'), '{read}')"
+    return f"strftime(coalesce({', '.join(one(*spellings[i]) for i in only)}), '{fractions}')"
+
+
+_TEXT = r"regexp_replace(regexp_replace(raw_html, '(?is)<(script|style)\b.*?(</(script|style)\s*>|$)|<!--.*?-->', '', 'g'), '<[^>]*>', '', 'g')"
+_WHITE = r"[\s\x{1c}-\x{1f}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_TITLE = r"nullif(trim(regexp_replace(regexp_replace(regexp_extract(raw_html, '(?is)<{tag}\b[^>]*>(.*?)</{tag}>', 1), '<[^>]*>', '', 'g'), '\s+', ' ', 'g')), '')"
+_SITES = "sites AS (SELECT * FROM (VALUES " + ", ".join(f"('{s}', '{c}', {_list(d)}, {_list(u)}, {n})" for s, c, d, u, n in SITES) + ") AS v(site, category, domains, start_urls, max_pages))"
+_ATTACHED = rf"""
+incoming AS (SELECT i.item_id, pos, i.title, {_norm('u')} AS nk, sha256(t.text) AS content_hash FROM (SELECT item_id, title, unnest(attachment_links) AS u, generate_subscripts(attachment_links, 1) - 1 AS pos FROM page_items) i
+  LEFT JOIN documents t ON t.doc_id = i.item_id WHERE u IS NOT NULL),
+known AS (SELECT normalized_file_url AS k, max(coalesce(content_hash, '')) AS h FROM attachments WHERE trim(normalized_file_url) <> '' GROUP BY 1),
+lagged AS (SELECT i.*, k, CASE WHEN row_number() OVER w = 1 THEN h ELSE lag(coalesce(content_hash, '')) OVER w END AS prev, row_number() OVER w AS rn
+  FROM incoming i LEFT JOIN known ON k = nk WINDOW w AS (PARTITION BY nk ORDER BY item_id, pos)),
+decided AS (SELECT *, CASE WHEN rn = 1 AND k IS NULL THEN 'insert' WHEN coalesce(content_hash, '') = prev THEN 'skip' ELSE 'update' END AS action FROM lagged)"""
+
 SQL: dict[str, str] = {
     "p7_found": f"WITH {_P7} SELECT * FROM found",
     "p7_report": f"WITH {_P7} SELECT table_name, period, kind, count(*) AS cnt FROM found GROUP BY ALL",
@@ -199,7 +252,6 @@ SELECT doc_id AS page_id, term, count(*) AS n, round(cast(count(*) AS DOUBLE) /
     "field_statistics": f"WITH {_PAGE_DOCS}, {_fields(['title', 'content', 'anchor_text'])} SELECT field, count(*) AS doc_count, cast(sum(len(toks)) AS BIGINT) AS sum_dl FROM fields GROUP BY field",
     "postings": f"""WITH {_PAGE_DOCS}, {_fields(['title'])}, e AS (SELECT doc_id, unnest(toks) AS term, generate_subscripts(toks, 1) - 1 AS pos FROM fields)
 SELECT term, doc_id, count(*) AS tf, string_agg(pos, ',' ORDER BY pos) AS positions FROM e GROUP BY ALL""",
-    "search_indexed": f"WITH {_multi(_PAGE_DOCS, Q, PAGE_BOOSTS)} SELECT doc_id, round(score, 6) AS score FROM hits",
     "search_pages": f"WITH {_multi(_PAGE_DOCS, Q, PAGE_BOOSTS)}, {_top(20)} SELECT doc_id AS page_id, title, round(score, 6) AS score FROM top",
     "search_pages_all": f"WITH {_multi(_PAGE_DOCS, Q, PAGE_BOOSTS)} SELECT doc_id AS page_id, round(score, 6) AS score FROM hits",
     "search_pages_filtered": f"WITH {_multi(_PAGE_DOCS, Q, PAGE_BOOSTS)} SELECT doc_id AS page_id, round(score, 6) AS score FROM hits JOIN docs USING (doc_id) WHERE source_site = 'news.yunheng.example'",
@@ -218,17 +270,18 @@ SELECT doc_id AS page_id, {_sane(_marked('title', query_terms(Q, in_order=True))
 SELECT doc_id AS attachment_id, {_sane(_marked('file_name', query_terms(Q, in_order=True)))} AS file_name, file_url, file_type, {_sane('coalesce(s, substr(file_text, 1, 100))')} AS snippet, parent_page_id, parent_title, round(score, 6) AS score FROM top JOIN sn USING (doc_id)""",
     "vsm_scores": f"WITH {_multi(_PAGE_DOCS, Q, PAGE_BOOSTS)}, {_top(20)}, {_vsm(Q)} SELECT doc_id AS page_id, round(vsm, 6) AS vsm FROM vsm",
     "preference_scores": f"WITH {_multi(_PAGE_DOCS, Q, PAGE_BOOSTS)}, {_top(10)}, {_KW} SELECT u.id AS user_id, doc_id AS page_id, {_preference('substr(content, 1, 100)')} AS preference FROM users u CROSS JOIN top",
-    "ranked_search": f"""WITH {_multi(_PAGE_DOCS, Q, PAGE_BOOSTS)}, {_top(20)}, {_vsm(Q)}, {_KW},
+    "ranked_search": f"""WITH {_multi(_PAGE_DOCS, Q, PAGE_BOOSTS)}, {_top(20)}, {_vsm(Q)}, {_KW}, {', '.join(_GRAPH)},
 p AS (SELECT doc_id, {_preference('substr(content, 1, 100)')} AS preference FROM top CROSS JOIN (SELECT * FROM users WHERE id = 12) u)
-SELECT doc_id AS page_id, round(score, 6) AS bm25, round(vsm, 4) AS vsm, coalesce(preference, 0) AS preference,
-  round(round(cast(0.6 AS DOUBLE) * score + cast(0.2 AS DOUBLE) * vsm + cast(0.05 AS DOUBLE) * coalesce(preference, 0), 4), 3) AS final_score FROM top JOIN vsm USING (doc_id) LEFT JOIN p USING (doc_id)""",
+SELECT doc_id AS page_id, round(score, 6) AS bm25, round(vsm, 4) AS vsm, round(coalesce(r, cast(0 AS DOUBLE)), 9) AS pagerank, coalesce(preference, 0) AS preference,
+  round(cast(0.6 AS DOUBLE) * score + cast(0.2 AS DOUBLE) * vsm + cast(0.15 AS DOUBLE) * coalesce(r, cast(0 AS DOUBLE)) + cast(0.05 AS DOUBLE) * coalesce(preference, 0), 4) AS final_score
+FROM top JOIN vsm USING (doc_id) LEFT JOIN p USING (doc_id) LEFT JOIN r5 ON v = {_norm('url')}""",
     "related_pages": f"""WITH {_multi(_PAGE_DOCS, '学位授予', RELATED_BOOSTS)}, {_top(5)}, {_KW}, p AS (SELECT doc_id, score, {_preference("''")} AS preference FROM top CROSS JOIN (SELECT * FROM users WHERE id = 12) u)
-SELECT doc_id AS page_id, round(round(score + coalesce(preference, 0), 4), 3) AS final_score FROM p""",
+SELECT doc_id AS page_id, round(score + coalesce(preference, 0), 4) AS final_score FROM p""",
     "role_profiles": f"WITH {_KW} SELECT role, count(DISTINCT id) AS users, round(coalesce(sum(weight), 0), 3) AS weight FROM users LEFT JOIN kw USING (role) GROUP BY role",
     "anonymous_profile": f"WITH {_multi(_PAGE_DOCS, Q, PAGE_BOOSTS)}, {_top(10)} SELECT doc_id AS page_id, cast(0 AS DOUBLE) AS preference FROM top",
     "url_normalize": f"SELECT DISTINCT id, {_norm('to_url')} AS u, {_host('to_url')} AS host FROM page_links",
     "url_filters": rf"""SELECT DISTINCT id, (lower({_host('to_url')}) = 'yunheng.example' OR ends_with(lower({_host('to_url')}), '.yunheng.example')) AS below,
-  regexp_replace(lower({_host('to_url')}), '^www\.', '') IN ('news.yunheng.example', 'lib.yunheng.example') AS exact, regexp_matches(to_url, '(?i)\.({'|'.join(SKIP_EXTENSIONS)})$') AS skip_ext,
+  regexp_replace(lower({_host('to_url')}), '^www\.', '') IN ('news.yunheng.example', 'lib.yunheng.example') AS exact, regexp_matches(to_url, '(?i)\.({_SKIP})$') AS skip_ext,
   to_url IS NOT NULL AND trim(to_url) <> '' AND regexp_matches(trim(to_url), '^[\x00-\x7f]') AND NOT regexp_matches(trim(to_url), '(?i)^(javascript:|mailto:|tel:|#)') AS href_ok,
   CASE WHEN regexp_matches(to_url, '/info/\d+/\d+\.htm') THEN 'detail' WHEN regexp_matches(to_url, '/notice/') THEN 'list' ELSE 'other' END AS kind FROM page_links""",
     "url_hashes": r"""WITH h AS (SELECT *, substr(sha256(url), 1, 16) AS s FROM pages)
@@ -246,21 +299,11 @@ e AS (SELECT item_id, unnest(l) AS x, generate_subscripts(l, 1) - 1 AS pos FROM
 SELECT item_id, pos, href, CASE WHEN regexp_matches(href, '(?i)\.(pdf|doc|docx|xls|xlsx|ppt|pptx|zip|rar)$') THEN 'attachment' ELSE 'page' END AS kind FROM h""",
     "link_degrees": f"""WITH e AS (SELECT DISTINCT {_norm('from_url')} AS src, {_norm('to_url')} AS dst FROM page_links), f AS (SELECT * FROM e WHERE src <> dst)
 SELECT url, cast(sum(o) AS BIGINT) AS out_degree, cast(sum(i) AS BIGINT) AS in_degree FROM (SELECT src AS url, 1 AS o, 0 AS i FROM f UNION ALL SELECT dst, 0, 1 FROM f) GROUP BY url""",
-    "pagerank": f"""WITH RECURSIVE e AS (SELECT DISTINCT {_norm('from_url')} AS src, {_norm('to_url')} AS dst FROM page_links), f AS (SELECT * FROM e WHERE src <> dst),
-nodes AS (SELECT src AS v FROM f UNION SELECT dst FROM f), n AS (SELECT cast(count(*) AS DOUBLE) AS n FROM nodes), deg AS (SELECT src, count(*) AS deg FROM f GROUP BY src), w AS (SELECT f.src, f.dst, deg.deg FROM f JOIN deg USING (src)),
-"""
-    + ", ".join(
-        [f"r0 AS (SELECT v, 1 / n AS r FROM nodes, n)"]
-        + [
-            f"""r{k} AS (SELECT v, cast(0.15 AS DOUBLE) / n + cast(0.85 AS DOUBLE) * (coalesce(got, 0) + lost / n) AS r FROM nodes LEFT JOIN (SELECT dst AS v, sum(r / deg) AS got FROM w JOIN r{k - 1} ON v = src GROUP BY dst) USING (v), n,
-  (SELECT coalesce(sum(r), 0) AS lost FROM r{k - 1} WHERE v NOT IN (SELECT src FROM deg)))"""
-            for k in range(1, 6)
-        ]
-    )
-    + " SELECT v AS url, round(r, 9) AS pagerank FROM r5",
+    "pagerank": "WITH " + ", ".join(_GRAPH) + " SELECT v AS url, round(r, 9) AS pagerank FROM r5",
     "site_page_caps": "SELECT id, source_site FROM (SELECT *, row_number() OVER (PARTITION BY source_site ORDER BY id) AS rn FROM pages) WHERE rn <= 5",
-    "crawl_stats": """SELECT count(*) AS pages, round(count(*) / cast(12.5 AS DOUBLE), 1) AS pages_per_minute, round(cast(sum(strlen(content)) AS DOUBLE) / count(*), 1) AS mean_bytes,
-  cast(sum(coalesce(len(attachment_links), 0)) AS BIGINT) AS attachments, count(*) FILTER (coalesce(trim(content), '') = '') AS empty_pages FROM page_items""",
+    "crawl_stats": f"""WITH t AS (SELECT *, coalesce({_skipped('url')} OR status_code >= 400, false) AS sk FROM page_items), k AS (SELECT * FROM t WHERE NOT sk)
+SELECT count(*) AS pages, round(count(*) / cast(12.5 AS DOUBLE), 1) AS pages_per_minute, round(cast(coalesce(sum(strlen(content)), 0) AS DOUBLE) / greatest(count(*), 1), 1) AS mean_bytes,
+  cast(coalesce(sum(coalesce(len(attachment_links), 0)), 0) AS BIGINT) AS attachments, count(*) FILTER (coalesce(trim(content), '') = '') AS empty_pages, (SELECT count(*) FROM t WHERE sk) AS skipped FROM k""",
     "site_yield": "WITH c AS (SELECT source_site AS site, count(*) AS cnt FROM page_items GROUP BY 1) SELECT site, cnt, round(100.0 * cnt / max(cnt) OVER ()) AS pct FROM c",
     "ingest_decide": f"WITH {_DECIDE.format(force='false')} SELECT line_no, action FROM decided",
     "ingest_force": f"WITH {_DECIDE.format(force='true')} SELECT 'page' AS entity, action, count(*) AS cnt FROM decided GROUP BY action",
@@ -283,11 +326,34 @@ e AS (SELECT filters, unnest(CASE WHEN len(ks) > 0 THEN ks ELSE [NULL] END) AS k
 SELECT k AS filter_key, CASE WHEN k IS NOT NULL THEN json_extract_string(filters, '$."' || k || '"') END AS filter_value, count(*) AS cnt FROM e GROUP BY ALL""",
     "cleaned_texts": r"""SELECT item_id, array_to_string(list_filter([trim(regexp_replace(l, '[\s\x{0b}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g')) for l in regexp_split_to_array(content, '\r\n|\r|\n')], lambda x: x <> ''), chr(10)) AS content,
   coalesce(array_to_string(anchor_texts, ' '), '') AS anchor_text FROM page_items""",
-    "frontier": rf"""WITH u AS (SELECT DISTINCT trim(to_url) AS u FROM page_links WHERE from_url IS NOT NULL AND trim(to_url) <> '' AND regexp_matches(trim(to_url), '^[\x00-\x7f]')
-  AND regexp_matches(trim(to_url), '(?i)^https?://')),
-k AS (SELECT DISTINCT {_norm('u')} AS url FROM u WHERE regexp_replace(lower({_host('u')}), '^www\.', '') IN ('news.yunheng.example', 'lib.yunheng.example', 'jwc.yunheng.example')
-  AND NOT regexp_matches(u, '(?i)\.({'|'.join(SKIP_EXTENSIONS)})$')
-  AND NOT regexp_matches(u, '(?i)/(search|login|logout|register|user|admin|wp-admin|wp-json|api|feed|rss|comment|reply|trackback|tag/|category/|author/|page/\d+|date/)\b|\$\[|nextcid='))
-SELECT url FROM k WHERE url NOT IN (SELECT normalized_url FROM pages WHERE normalized_url IS NOT NULL)""",
+    "frontier": f"WITH {_new_links('SELECT from_url AS url, to_url AS href FROM page_links')} SELECT url FROM k WHERE url NOT IN (SELECT normalized_url FROM pages WHERE normalized_url IS NOT NULL)",
+    "frontier_html": f"WITH {_new_links(_HREFS.format(url='url'))} SELECT url FROM k WHERE url NOT IN (SELECT normalized_url FROM pages WHERE normalized_url IS NOT NULL)",
+    "crawl_depths": f"""WITH RECURSIVE hr AS ({_HREFS.format(url=_norm('url'))}), edges AS (SELECT DISTINCT here, url AS there FROM (SELECT DISTINCT url AS here, href FROM hr) x, LATERAL (WITH {_new_links('SELECT x.here AS url, x.href AS href')} SELECT url FROM k)),
+s0 AS (SELECT DISTINCT {_norm('url')} AS url, 0 AS depth FROM pages WHERE id % 50 = 0),
+s1 AS (SELECT DISTINCT there AS url, 1 AS depth FROM edges JOIN s0 ON here = s0.url WHERE there NOT IN (SELECT url FROM s0)),
+s2 AS (SELECT DISTINCT there AS url, 2 AS depth FROM edges JOIN s1 ON here = s1.url WHERE there NOT IN (SELECT url FROM s0 UNION ALL SELECT url FROM s1))
+SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2""",
+    "crawl_seeds": f"WITH {_SITES} SELECT site, unnest(start_urls) AS url FROM sites",
+    "crawl_plan": f"WITH {_SITES} SELECT count(*) AS batches, count(DISTINCT site) AS sites, cast(sum(max_pages) AS BIGINT) AS max_pages FROM sites",
+    "sites_of_urls": f"WITH {_SITES}, d AS (SELECT site, unnest(domains) AS d FROM sites) SELECT id, (SELECT min(site) FROM d WHERE contains(lower({_host('url')}), d)) AS site FROM pages",
+    "parsed_pages": rf"""SELECT item_id, coalesce({_TITLE.format(tag='title').replace(chr(92) + 's+', _WHITE)}, {_TITLE.format(tag='h1').replace(chr(92) + 's+', _WHITE)}, '') AS title, coalesce(len(regexp_extract_all(raw_html, '(?is)<a\s[^<>]*?href=[^<>]*>')), 0) AS links,
+  coalesce(strftime(try_strptime(regexp_extract(raw_html, '(?i)<meta name="pubdate" content="([^"]*)"', 1), '%Y-%m-%dT%H:%M:%S'), '%Y-%m-%d %H:%M'), {_scan(f"substr({_TEXT}, 1, 8192)", '%Y-%m-%d %H:%M')}) AS published FROM page_items""",
+    "scanned_dates": f"SELECT item_id, {_scan('content', '%Y-%m-%d %H:%M:%S')} AS any, {_scan('content', '%Y-%m-%d %H:%M:%S', (1, 2, 5, 6))} AS crawl FROM page_items",
+    "recent_with_total": "WITH t AS (SELECT DISTINCT * FROM query_logs) SELECT id, query_text, query_type, result_count, created_at, (SELECT count(*) FROM t) AS total FROM t ORDER BY created_at DESC, id DESC LIMIT 10",
+    "items_roundtrip": "SELECT url, title, length(content) AS chars, content_hash, len(out_links) AS links, publish_time, status_code, 15 AS keys, 'item' AS kind FROM page_items",
+    "snapshot_files": r"""WITH l AS (SELECT url, arg_max(raw_html, item_id) AS raw_html, substr(sha256(url), 1, 16) AS s FROM page_items WHERE raw_html <> '' AND url IS NOT NULL GROUP BY url)
+SELECT url, 'snapshots/' || substr(s, 1, 2) || '/' || substr(s, 3, 2) || '/' || s || '.html' AS snapshot_path, strlen(raw_html) AS bytes, sha256(raw_html) AS hash FROM l""",
+    "distinct_links": "SELECT item_id, len(list_distinct(coalesce(out_links, []))) AS links, out_links[1] AS first FROM page_items",
+    "ingest_first_lines": f"WITH {_DECIDE.format(force='false').replace('FROM page_items)', 'FROM (SELECT * FROM page_items ORDER BY item_id LIMIT 200))')} SELECT line_no, action FROM decided",
+    "attachment_dry_run": f"""WITH {_STATES} SELECT count(*) FILTER (step <> 'ignored') AS found, count(*) FILTER (step NOT IN ('ignored', 'skip')) AS "new", count(*) FILTER (step = 'skip') AS skipped,
+  count(*) FILTER (step NOT IN ('ignored', 'skip')) AS downloaded, count(*) FILTER (step NOT IN ('ignored', 'skip')) AS indexed FROM states""",
+    "attachment_decide": f"WITH {_ATTACHED} SELECT item_id, pos, action FROM decided",
+    "attachment_upsert": f"""WITH {_ATTACHED}, last AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY nk ORDER BY item_id DESC, pos DESC) AS r2 FROM decided WHERE action IN ('insert', 'update')) WHERE r2 = 1),
+st AS (SELECT id, normalized_file_url AS sk, parent_title, content_hash FROM attachments WHERE normalized_file_url <> '')
+SELECT coalesce(sk, nk) AS normalized_file_url, CASE WHEN nk IS NULL THEN parent_title WHEN sk IS NULL THEN coalesce(l.title, '') ELSE l.title END AS title,
+  CASE WHEN nk IS NULL THEN st.content_hash WHEN sk IS NULL THEN coalesce(l.content_hash, '') ELSE l.content_hash END AS content_hash, coalesce(action, 'keep') AS action FROM st FULL JOIN last l ON nk = sk""",
+    "search_unindexed": f"WITH {_multi(_PAGE_DOCS, Q, PAGE_BOOSTS)} SELECT doc_id AS page_id, round(score, 6) AS score FROM hits",
+    "search_phrase_unindexed": f"WITH {_phrase(PHRASE, {'title': 4.0, 'content': 1.0})} SELECT doc_id AS page_id, round(score, 6) AS score FROM hits",
+    "refreshed_index": f"WITH {_PAGE_DOCS}, {_fields(['title', 'content'])} SELECT term, field, count(*) AS df FROM (SELECT field, unnest(list_distinct(toks)) AS term FROM fields) GROUP BY ALL",
     "get_many": f"WITH {_PAGE_DOCS} SELECT c.page_id, coalesce(title, '') AS title, coalesce(anchor_text, '') AS anchor_text FROM (SELECT DISTINCT id AS page_id FROM page_links) c LEFT JOIN docs ON doc_id = c.page_id",
 }

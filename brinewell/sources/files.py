@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import os
 import re
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
@@ -13,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewell.functions.urls import safe_path, snapshot_path
+from brinewell.session import cut_lineage
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -86,9 +89,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_documents(spark: SparkSession, path: str, max_bytes: int = 50_000_000) -> DataFrame:
-    """(path, text, text_length) of the files below a folder; files over max_bytes are left out."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(F.col("length") <= max_bytes)
-    return files.select("path", "content").mapInArrow(_texts, "path string, text string, text_length int")
+    """(path, text, text_length, error) of the files below a folder.
+
+    Files over max_bytes aren't read: their text is '' and their error 'too large'; else the error is null.
+    """
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    read = files.where(F.col("length") <= max_bytes).select("path", "content").mapInArrow(_texts, "path string, text string, text_length int")
+    large = files.where(F.col("length") > max_bytes).select("path", F.lit("").alias("text"), F.lit(0).alias("text_length"), F.lit("too large").alias("error"))
+    return read.withColumn("error", F.lit(None).cast("string")).unionByName(large)
 
 
 def read_snapshots(spark: SparkSession, root: str) -> DataFrame:
@@ -108,3 +116,28 @@ def write_snapshots(pages: DataFrame, path: str, mode: str = "overwrite") -> Non
     rows = pages.select("url", "raw_html", snapshot_path(F.col("url")).alias("snapshot_path"))
     rows = rows.withColumn("h2", F.element_at(F.split("snapshot_path", "/"), -3)).withColumn("h4", F.element_at(F.split("snapshot_path", "/"), -2))
     rows.write.mode(mode).partitionBy("h2", "h4").parquet(path)
+
+
+def write_snapshot_files(pages: DataFrame, root: str) -> DataFrame:
+    """(url, snapshot_path, bytes): one HTML file for each page below ``root``, a folder that all executors share.
+
+    A page with a null address, or with null or empty HTML, has none. A file appears whole or not at all, so a repeated task does no harm.
+    """
+    base = root.removeprefix("file://").removeprefix("file:")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = []
+            for path, page in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                raw = page.encode("utf-8", "surrogatepass")
+                full = os.path.join(base, path)
+                os.makedirs(os.path.dirname(full), exist_ok=True)
+                part = f"{full}.{uuid.uuid4().hex}"
+                with open(part, "wb") as f:
+                    f.write(raw)
+                os.replace(part, full)
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["url", "snapshot_path", "bytes"])
+
+    rows = pages.where("url is not null and raw_html <> ''").select("url", snapshot_path(F.col("url")).alias("snapshot_path"), "raw_html")
+    return cut_lineage(rows.mapInArrow(run, "url string, snapshot_path string, bytes long"))

@@ -60,6 +60,53 @@ def test_new_ids(spark):
     assert [r["id"] for r in rows] == list(range(42, 142))
 
 
+def test_new_ids_of_many_partitions(spark):
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.enabled": "true", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "65536"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        new = spark.range(200_000, numPartitions=13).select(F.pmod(F.col("id") * 7919, F.lit(200_000)).alias("first_line"), F.concat(F.lit("u"), "id").alias("normalized_url")).repartition("normalized_url")
+        out = ingest.assign_ids(new, spark.createDataFrame([(100,)], "id long"))
+        wrong = out.where(F.col("id") != F.col("first_line") + 101).count()
+        assert wrong == 0 and out.count() == out.select("id").distinct().count() == 200_000
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_attachment_rows(spark):
+    items = spark.createDataFrame([(1, ["https://a.x/f.pdf#p", None, "https://a.x/f.pdf"]), (2, None)], "item_id long, attachment_links array<string>")
+    rows = [(r["item_id"], r["line_no"]["pos"], r["normalized_file_url"]) for r in ingest.attachment_rows(items).orderBy("line_no").collect()]
+    assert rows == [(1, 0, "https://a.x/f.pdf"), (1, 2, "https://a.x/f.pdf")]
+    decided = ingest.decide(ingest.attachment_rows(items).withColumn("content_hash", F.lit("h")), spark.createDataFrame([], "normalized_file_url string, content_hash string"), key="normalized_file_url")
+    assert sorted(r["action"] for r in decided.collect()) == ["insert", "skip"]
+
+
+def test_frontier_resolves_what_is_relative(spark):
+    links = spark.createDataFrame([("https://a.x/d/p.htm", h) for h in ("n.htm", "/r", "../u.htm", "//b.x/s", "https://a.x/d/../e?", "#t", None, "mailto:x", " https://a.x/q?a=1#f ", "https://a.x/wp-content/uploads/i", "https://a.x/wp-content/t", "https://c.x/no")] + [(None, "/z")], "url string, href string")
+    visited = spark.createDataFrame([("https://a.x/r",)], "url string")
+    got = sorted(r["url"] for r in crawl.expand_frontier(links, visited, ["a.x", "b.x"]).collect())
+    assert got == ["https://a.x/d/../e", "https://a.x/d/n.htm", "https://a.x/q?a=1", "https://a.x/u.htm", "https://a.x/wp-content/uploads/i", "https://b.x/s"]
+
+
+def test_first_lines(spark):
+    df = spark.range(50).select(F.col("id").alias("line_no"))
+    assert sorted(r[0] for r in ingest.first_lines(df, 3).collect()) == [0, 1, 2] and ingest.first_lines(df, 0).count() == 50
+    with pytest.raises(ValueError):
+        ingest.first_lines(df, -1)
+
+
+def test_query_log(spark, tmp_path):
+    row = log_analytics.query_log_row(spark, "q", "fulltext", dt.datetime(2025, 1, 1, 8), 3, site="a", category="", field=None)
+    assert log_analytics.append_query_log(str(tmp_path / "l"), row) and log_analytics.append_query_log(str(tmp_path / "l"), log_analytics.query_log_row(spark, "r", "phrase", dt.datetime(2025, 1, 1), 0, 7))
+    assert {(r["query_text"], r["filters"], r["user_id"]) for r in spark.read.parquet(str(tmp_path / "l")).collect()} == {("q", '{"site": "a"}', None), ("r", None, 7)}
+    (tmp_path / "file").write_text("")
+    assert log_analytics.append_query_log(str(tmp_path / "file" / "l"), row, required=False) is False
+    with pytest.raises(Exception):
+        log_analytics.append_query_log(str(tmp_path / "file" / "l"), row)
+
+
 def test_attachment_states(spark):
     found = spark.createDataFrame(
         [(1, "k1", "https://x/a.pdf", True, "t"), (2, "k2", "https://x/b.DOCX", True, " "), (3, "k3", "https://x/c.zip", True, "t"), (4, "k4", "ftp://x/d.pdf", True, "t"), (5, "k5", "https://x/e.xlsx", False, None), (6, "k6", "https://x/f.pdf", False, None), (7, None, None, None, None)],

@@ -142,3 +142,48 @@ def test_blend_and_profile(spark):
     hits = spark.createDataFrame([(1, "grant", "", "", "", 2.0)], "id long, title string, snippet string, category string, source_site string, score double")
     assert [ranking.with_profile(hits, users, u, kw).first()["preference"] for u in (5, 6, None)] == [3.0, 0.0, 0.0]
     assert ranking.related_rank(ranking.with_profile(hits, users, 5, kw), "id").first()["final_score"] == 5.0
+
+
+def test_indexed_phrase_and_pages(spark, small, tmp_path):
+    boosts = search.PAGE_BOOSTS
+    index.write_index(index.build_index(small, "page_id", list(boosts), ["url", "title", "content", "anchor_text"]), str(tmp_path / "i"))
+    assert index.index_exists(spark, str(tmp_path / "i")) and not index.index_exists(spark, str(tmp_path / "none"))
+    back = index.read_index(spark, str(tmp_path / "i"))
+    for q in ("beta gamma", "大学生就业", "beta gamma beta", "gamma beta alpha", "the", "alpha"):
+        a = {r["page_id"]: round(r["score"], 9) for r in search.phrase_match(small, q).collect()}
+        b = {r["page_id"]: round(r["score"], 9) for r in search.indexed_phrase(back, q, "page_id").collect()}
+        assert a == b
+    hits = search.indexed(back, "grant beta", boosts, "page_id")
+    page = search.result_page(back, hits, "page_id", "grant beta", 1, 1).collect()
+    assert len(page) == 1 and page[0]["content"] == "alpha beta"
+    assert search.result_page(back, hits, "page_id", "grant beta", 3, 1).collect() == []
+    assert [r["page_id"] for r in search.indexed(back, "grant beta", boosts, "page_id", title="River day", url=None).collect()] == [2]
+    assert search.indexed(back, "the", boosts, "page_id").collect() == []
+    for bad in (("", 1, 1), ("q", 0, 1), ("q", 1, 101)):
+        with pytest.raises(ValueError):
+            search.result_page(back, hits, "page_id", *bad)
+
+
+def test_index_of_a_long_document(spark):
+    words = " ".join(f"w{i}" for i in range(50_000))
+    df = docs(spark, [(1, "", "", f"{words} w7", ""), (2, "", "", "w7 w7 wolf", ""), (3, "", "", "", "")])
+    idx = index.build_index(df, "page_id", ["content", "anchor_text"])
+    got = {(r["doc_id"], tuple(r["positions"]), r["tf"], r["dl"]) for r in idx.postings.where("term = 'w7'").collect()}
+    assert got == {(1, (7, 50_000), 2, 50_001), (2, (0, 1), 2, 3)} and idx.postings.count() == 50_002
+
+
+@pytest.mark.parametrize("pattern,want", [
+    ("(?P<a>gr)ant", [1]), (r"(?P<x_1>[a-z])(?P=x_1)", []), (r"(?P<n>i)v(?P<m>e)r", [2]), ("(g)?(?(1)r|y)", []), ("(", []), ("^River day$", [2]),
+    (r"\w+\s\w+", [1, 2]), ("大学生|notice", [1, 4]), ("[]x]", []), ("[a&&b]", [1, 2]), (r"day\Z", [2]), ("(?i)RIVER", [2]), (r"^\w{7}$", [4]),
+])
+def test_regular_expressions_of_python(small, pattern, want):
+    import re
+
+    titles = {1: "grant notice", 2: "River day", 4: "大学生就业指导"}
+    got = sorted(r["page_id"] for r in search.regex_filter(small, pattern).collect())
+    assert got == want
+    try:
+        if "(?(" not in pattern:
+            assert got == [i for i, t in titles.items() if re.search(pattern, t)]
+    except re.error:
+        assert got == [i for i, t in titles.items() if pattern in t]

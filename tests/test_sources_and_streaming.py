@@ -100,6 +100,53 @@ def test_parse_pages(spark):
     assert [len(r[0] or []) for r in df.select(html.html_links(F.col("raw_html"))).collect()][0] == 7
 
 
+def test_times_fall_through(spark):
+    pages = [
+        '<p class="time">10:30</p><p class="date">2024-03-02</p>',
+        '<meta name="pubdate" content="soon"><meta property="article:date" content="2024-05-06"><p class="date">2023-01-01</p>',
+        "<script>var d='2020-01-01'</script><body>来源 2024年6月5日 10:20</body>",
+        '<div class="content"><header><i class="time">2019-01-01</i></header>' + "w " * 200 + '</div><i class="time">2022-02-02</i>',
+    ]
+    rows = html.parse_pages(spark.createDataFrame([(p, "u") for p in pages], "raw_html string, url string")).collect()
+    assert [r["publish_time"] for r in rows] == [dt.datetime(2024, 3, 2), dt.datetime(2024, 5, 6), dt.datetime(2024, 6, 5, 10, 20), dt.datetime(2022, 2, 2)]
+
+
+def test_containers():
+    text = "Long paragraphs of the article itself, with words enough to count. "
+    scored = f'<div id="a"><p>short</p></div><div id="b"><p>{text}</p><p>{text}</p></div><ul><p><a href="x">{text * 5}</a></p></ul>'
+    assert html.extract(scored, "u")["content"] == f"{text.strip()}\n{text.strip()}"
+    assert html.extract("<body>a<p>b</p></body>", "u")["content"] == "a\nb" and html.extract("only text", None)["content"] == "only text"
+    got = html.extract('<title>T</title><h1></h1><div class="title">D</div><a href="/a">x <b>y</b></a><a href="/a">z</a><a>none</a>', "https://h.x/")
+    assert got["heading"] == "D" and got["links"] == [("https://h.x/a", "x"), ("https://h.x/a", "z")]
+
+
+def test_crawl_items(spark):
+    body = "<h1>Head</h1><p>" + "word " * 30 + '</p><a href="/f.PDF">file</a><a href="#t">top</a>'
+    rows = [("https://lib.a.x/2024/05/06/n.htm#f", body, 200, "text/html; charset=utf-8"), ("https://b.x/", body, 200, None), ("https://a.x/p", body, 200, "application/pdf"), ("https://a.x/s", "<p>short</p>", 200, "TEXT/HTML"), ("https://a.x/n", None, 404, "")]
+    df = spark.createDataFrame(rows, "url string, raw_html string, status_code int, content_type string")
+    sites = spark.createDataFrame([("one", "c1", ["a.x"])], "site string, category string, domains array<string>")
+    out = html.crawl_items(df, sites, F.lit("2025-01-01 00:00:00").cast("timestamp_ntz"))
+    assert out.schema.names == ["url", "normalized_url", "title", "content", "raw_html", "source_site", "category", "publish_time", "anchor_texts", "out_links", "attachment_links", "crawl_time", "content_hash", "snapshot_path", "status_code"]
+    got = {r["url"]: r for r in out.collect()}
+    assert set(got) == {rows[0][0], rows[1][0]}
+    r = got[rows[0][0]]
+    assert (r["normalized_url"], r["title"], r["source_site"], r["category"], r["publish_time"]) == ("https://lib.a.x/2024/05/06/n.htm", "Head", "one", "c1", "2024-05-06T00:00:00")
+    assert r["attachment_links"] == ["https://lib.a.x/f.PDF"] and r["anchor_texts"] == ["file", "top"] and got["https://b.x/"]["source_site"] == ""
+
+
+def test_snapshot_files(spark, tmp_path):
+    pages = spark.createDataFrame([("https://x/", "<p>é</p>"), ("https://y/", None), ("https://z/", ""), (None, "a")], "url string, raw_html string")
+    written = files.write_snapshot_files(pages, str(tmp_path)).collect()
+    assert len(written) == 1 and written[0]["bytes"] == 9 and (tmp_path / written[0]["snapshot_path"]).read_text(encoding="utf-8") == "<p>é</p>"
+
+
+def test_large_files_are_reported(spark, tmp_path):
+    (tmp_path / "a.docx").write_bytes(b"x" * 2000)
+    (tmp_path / "b.txt").write_bytes(b"x")
+    got = {r["path"][-6:]: r["error"] for r in files.read_documents(spark, str(tmp_path), max_bytes=1000).collect()}
+    assert got == {"a.docx": "too large", "/b.txt": None}
+
+
 def test_banner(spark):
     df = spark.createDataFrame([("<BODY a=1>x<body>",), ("x",)], "h string")
     assert [r[0] for r in df.select(html.with_banner(F.col("h"), "[$1]")).collect()] == ["<BODY a=1>[$1]x<body>", "[$1]x"]
