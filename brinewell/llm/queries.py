@@ -46,7 +46,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
-    return residue.without_residue(load(spark, d, "page_items").select("item_id", "url", "normalized_url", "title", "content", "raw_html")).select("item_id", "title", "content")
+    return residue.without_residue(load(spark, d, "page_items").select("item_id", "url", "normalized_url", "title", "content")).select("item_id", "title", "content")
 
 
 def p5_found(spark: SparkSession, d: str) -> DataFrame:

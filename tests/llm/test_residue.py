@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -16,14 +18,28 @@ BAD = [
     "占位文本占位文本占位文本占位文本占位文本。",
     "asdf asdf jkl jkl asdf asdf jkl jkl 321",
     "aaa bbb ccc aaa bbb ccc 114",
+    "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu " * 4,
+    "甲乙丙丁戊己庚辛壬癸子丑寅" * 4,
+    "测试测试测试",
     "Lorem ipsum dolor sit amet",
     "Durent lacumen dolorum ipsuli fasti mirabo carpent gravo helmet velara.",
+]
+MESSAGES = [
     "您访问的页面不存在或已被删除。",
     "502 Bad Gateway: the upstream host closed the connection.",
     "You need to enable JavaScript to run this app.",
     "您的浏览器未开启脚本功能,本页面需要启用JavaScript后才能正常显示,请修改设置后刷新。",
+    "Warning: undefined variable $row in /srv/app/view_4533.php on line 4533",
+]
+ORDINARY = [
+    "图书馆将于周六进行系统升级维护，届时暂停服务。",
+    "大家在微博发布#校庆#照片，欢迎转发。",
+    "The standard says that 0/0 yields NaN in every format.",
+    "Let {x} be a bounded sequence of reals.",
+    "He was told Access denied at the gate and went home.",
 ]
 GOOD = [
+    *ORDINARY,
     "讲义第10页用花括号 {{ name }} 表示待替换的字段，宿管老师要求毕业生抄写11遍。",
     "Chapter 16 shows a template such as {{ title }} and asks two doctoral students to fill it in by hand.",
     "设集合 {x | x > 90} 与 {y | y < 885}，试说明轻量样本标注的历史背景。",
@@ -46,6 +62,32 @@ def test_residue_is_seen(text):
     assert r.residue_sentences("一段正常的文字。\n" + text)
 
 
+@pytest.mark.parametrize("text", MESSAGES)
+def test_messages_are_seen(text):
+    assert any(m for _, m in r.messages(text))
+
+
+def test_ordinary_sentences_are_clean_as_whole_bodies(spark):
+    rows = [(i, None, f"https://h{i}.example/p/{i}", "Harvest of the valley", t, None) for i, t in enumerate(ORDINARY)]
+    assert r.find_residue(table(spark, rows)).collect() == []
+
+
+def test_messages_count_alone_or_recurring(spark):
+    rows = [(0, None, "https://h1.example/a", "Harvest of the valley", "Internal Server Error. Error code 77.", None)]
+    rows += [(i, None, "https://h1.example/a", t, "Access denied to the object that you asked for, code 12.", None) for i, t in ((1, "River survey"), (2, "Quarry opens"))]
+    rows += [(3, None, "https://h1.example/a", "River survey", "The river survey opens in May. Access denied to the object that you asked for, code 12.", None)]
+    assert {tuple(x) for x in r.find_residue(table(spark, rows)).collect()} == {(0, "content"), (1, "content"), (2, "content")}
+
+
+def test_long_answers_are_found(spark):
+    pick = random.Random(9)
+    word = lambda: "".join(pick.choices("bcdfghklmnprstvaeiou", k=6))
+    answer = ". ".join("Please " + " ".join(word() for _ in range(12)) for _ in range(12)) + "."
+    rows = [(i, None, f"https://h{i % 4}.example/p/{i}", f"Report {word()} {word()}", f"{answer} Ticket {i}.", None) for i in range(10)]
+    rows += [(20 + i, None, f"https://h{i % 4}.example/p/{i}", f"Report {word()} {word()}", " the ".join(word() for _ in range(150)), None) for i in range(4)]
+    assert len(answer) > 800 and {tuple(x) for x in r.find_residue(table(spark, rows)).collect()} == {(i, "content") for i in range(10)}
+
+
 @pytest.mark.parametrize("text", GOOD)
 def test_texts_about_it_are_none(text):
     assert r.residue_sentences(text) == []
@@ -73,8 +115,9 @@ def test_found_by_host_evidence(spark):
     for i in range(20, 24):  # the site's own name in place of a title
         rows.append((i, None, f"https://h9.example/p/{i}", "Valley Portal" if i == 20 else f"Story {i}", f"Text number {i} of the valley story", f"<html><head><title>Story {i} - Valley Portal</title></head></html>"))
     rows += [(50, None, None, None, None, None), (51, None, "https://h1.example/", "", "", ""), (0, *rows[0][1:])]
-    got = {tuple(x) for x in r.find_residue(table(spark, rows)).collect()}
+    got = {tuple(x) for x in r.find_residue(table(spark, rows), site_names=True).collect()}
     assert got == {(i, "content") for i in range(12)} | {(20, "title")}
+    assert {tuple(x) for x in r.find_residue(table(spark, rows)).collect()} == {(i, "content") for i in range(12)}
 
 
 def test_cleaned(spark):
@@ -89,12 +132,10 @@ def test_html_titles_are_read_wherever_they_stand(spark):
     head = "<html><head><style>" + "p { margin: 0 }\n" * 200 + "</style>"
     rows = [(i, None, f"https://h9.example/p/{i}", "Valley Portal" if i == 20 else f"Story {i}", f"Text number {i} of the valley story", f"{head}<title>Story {i} - Valley Portal</title></head></html>") for i in range(20, 24)]
     rows.append((30, None, "https://h8.example/", "Mill Pages", "A text about the mill", f"{head}<title>Mill Pages - Mill Pages</title></head></html>"))
-    assert {tuple(x) for x in r.find_residue(table(spark, rows)).collect()} == {(20, "title"), (30, "title")}
+    assert {tuple(x) for x in r.find_residue(table(spark, rows), site_names=True).collect()} == {(20, "title"), (30, "title")}
 
 
 def test_shared_titles_need_unlike_bodies_without_their_terms(spark):
-    import random
-
     pick = random.Random(7)
     words = ["".join(pick.choices("bcdfghklmnprstvaeiou", k=7)) for _ in range(2000)]
     text = lambda: "the " + " ".join(pick.choices(words, k=90)) + "."
