@@ -1,15 +1,17 @@
 """Main content of pages by template deduction from equivalence classes (problem 3).
 
-Tags, qualified by the container they are in, are the tokens of a page. For each host the
-occurrence vector of a token over the host's whole pages is kept as a commutative fingerprint
-(the sum of hashes of page and count), so it is aggregated before any shuffle, however
-many pages a host has. Tokens with one vector form an equivalence class; a class is valid
-if its tokens occur once on each of its pages and in one order on all of them; of a class
-in several orders the pairs of opening and closing tag are left. Valid classes are nested
-by their position, and the slots between their tags are measured: the slot that holds most
-of its pages' text is the main one. The text of a slot nested in another counts to it too,
-unless the nested slot is navigation by its kind, consists of links, or repeats its lines
-from page to page. Lines of the main slot are the article, all other lines are furniture.
+Tags, qualified by the container they are in, and lines of text, digits aside, are the tokens
+of a page. For each host the occurrence vector of a token over the host's whole pages is kept
+as a commutative fingerprint (the sum of hashes of page and count), so it is aggregated before
+any shuffle, however many pages a host has. Tags with one vector form an equivalence class; a
+class is valid if its tags occur once on each of its pages and in one order on all of them; of
+a class in several orders the pairs of opening and closing tag are left. Lines that occur once
+on each of at least ``LEAST_PAGES`` pages, the very pages of a class, belong to that class: they
+are the template's text, wherever they stand. Valid classes are nested by their position, and the
+slots between their tags are measured: the slot that holds most of its pages' text is the main
+one. The text of a slot nested in another counts to it too, unless the nested slot is navigation
+by its kind, consists of links, or repeats its lines from page to page. Lines of the main slot
+that aren't the template's are the article, all other lines are furniture.
 
 Pages without HTML, or with HTML cut off before its end, are judged by what the other
 pages teach: counts of line features among furniture and article lines give each line a
@@ -30,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.functions.urls import host_of
-from brinewell.llm.residue import MESSAGE, residue_sentences
+from brinewell.llm.residue import messages, template_sentences
 from brinewell.session import cut_lineage
 
 _TOKEN = re.compile(r"<(script|style|noscript|template)\b[^>]*>.*?(?:</\1\s*>|\Z)|<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9]*)([^<>]*)>|<[!?][^>]*>|([^<]+)|<", re.DOTALL | re.IGNORECASE)
@@ -45,13 +47,24 @@ def _hash(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s) - (1 << 63)
 
 
+def _text_token(line: str) -> str:
+    return f"={_hash(_DIGITS.sub('#', line))}"
+
+
+def _residue(line: str) -> bool:
+    """Problem 4's text: an unfilled placeholder, filler or an error message."""
+    return bool(template_sentences(line)) or any(m for _, m in messages(line))
+
+
 def squeeze_line(line: str) -> str:
     """White-space runs become one space, ends are trimmed."""
     return " ".join(line.split())
 
 
 def outline(page: str) -> tuple[list[tuple[tuple[str, ...], str, bool]], list[str], bool]:
-    """(slots around it from the outermost, line, whether it is a link) of every text line, the qualified tag tokens in order, and whether the page ends properly.
+    """(slots around it from the outermost, line, whether it is a link) of every text line, the tokens in order, and whether the page ends properly.
+
+    Tokens are the qualified tags and, with an equals sign before their hash, the lines.
 
     A slot is a container with a class, id or role, or a container of a kind that says what it
     is (nav, aside, footer); others take their parent's.
@@ -71,6 +84,7 @@ def outline(page: str) -> tuple[list[tuple[tuple[str, ...], str, bool]], list[st
                 line = squeeze_line(html.unescape(line) if "&" in line else line)
                 if line:
                     lines.append((stack[-1][1], line, link))
+                    tokens.append(_text_token(line))
             continue
         tag = m.group(3)
         if not tag:
@@ -116,18 +130,20 @@ def outline(page: str) -> tuple[list[tuple[tuple[str, ...], str, bool]], list[st
 def parse(page: str) -> tuple[list[tuple[str, str]], list[str], bool]:
     """(innermost slot, line) of every text line, the qualified tag tokens in order, and whether the page ends properly."""
     lines, tokens, whole = outline(page)
-    return [(path[-1] if path else "", line) for path, line, _ in lines], tokens, whole
+    return [(path[-1] if path else "", line) for path, line, _ in lines], [t for t in tokens if t[0] != "="], whole
 
 
 #: Slots that are no part of an article wherever they are nested.
 _BESIDE = re.compile(r"(?:nav|aside|footer|header|form)(?![a-z])")
 _CELLS = "host string, token string, parent string, line long, pages long, times long, vector long, place double, mass long, links long"
-#: Cells of lines that a task holds before it hands them on.
+#: Cells that a task holds before it hands them on.
 _HELD = 200_000
+#: Pages that a line of text must be on to belong to a template.
+LEAST_PAGES = 8
 
 
 def _is_slot(token: str) -> bool:
-    return token[0] != "/" and ">" not in token and token != "body"
+    return token[0] not in "/=" and ">" not in token and token != "body"
 
 
 def _learn_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,10 +156,11 @@ def _learn_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     cells: dict[tuple[str, str], list] = {}
     texts: dict[tuple[str, str, str, int], list[int]] = {}
 
-    def flush(tokens: bool) -> pa.RecordBatch:
-        rows = [(h, t, None, None, c[0], c[1], c[2] - (1 << 64) if c[2] >> 63 else c[2], c[3], None, None) for (h, t), c in cells.items()] if tokens else []
+    def flush() -> pa.RecordBatch:
+        rows = [(h, t, None, None, c[0], c[1], c[2] - (1 << 64) if c[2] >> 63 else c[2], c[3], None, None) for (h, t), c in cells.items()]
         rows += [(h, t, p, x, None, n, None, None, mass, links) for (h, p, t, x), (n, mass, links) in texts.items()]
         texts.clear()
+        cells.clear()
         cols = list(zip(*rows)) if rows else [()] * 10
         kinds = [pa.string(), pa.string(), pa.string(), *[pa.int64()] * 4, pa.float64(), pa.int64(), pa.int64()]
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split()[0] for x in _CELLS.split(", ")])
@@ -157,6 +174,8 @@ def _learn_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                 counts[t] += 1
                 first.setdefault(t, at)
             for t, n in counts.items():
+                if t[0] == "=" and (not whole or n > 1):
+                    continue  # such a line is in no class of this page's vector
                 c = cells.get((host, t))
                 if c is None:
                     c = cells[host, t] = [0, 0, 0, 0.0]
@@ -176,9 +195,9 @@ def _learn_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                         c[0] += 1
                         c[1] += len(line)
                         c[2] += len(line) * link
-        if len(texts) > _HELD:
-            yield flush(False)
-    yield flush(True)
+            if len(texts) + len(cells) > _HELD:
+                yield flush()
+    yield flush()
 
 
 def _inside(path: tuple[str, ...], main: set[str]) -> bool:
@@ -231,14 +250,15 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def main_slots(rows: DataFrame, least_share: float = 0.5, weight: float = 3.0, broadcast_hosts: int = 200_000) -> DataFrame:
-    """(host, main array<string>): the slots of each host's template that hold most of their pages' text.
+    """(host, main array<string>): the slots of each host's template that hold most of their pages' text, and the template's own text.
 
-    A slot nested in another as part of its text is named by both, with a tab between.
+    A slot nested in another as part of its text is named by both, with a tab between; a line of the
+    template is its hash after an equals sign.
     """
     rows = rows.select("host", "key", "raw_html").where("raw_html is not null and raw_html <> ''")
     learned = cut_lineage(rows.mapInArrow(_learn_batches, _CELLS))
     # sums of hashes wrap around as the fingerprints of whole vectors do
-    tokens = cut_lineage(
+    counted = (
         learned.where("line is null").groupBy("host", "token").agg(
             F.sum("pages").alias("pages"),
             F.sum("times").alias("times"),
@@ -248,6 +268,9 @@ def main_slots(rows: DataFrame, least_share: float = 0.5, weight: float = 3.0, b
             F.sum("place").alias("place"),
         )
     )
+    # lines on a few pages can't be the template's: they are all but a few
+    counted = cut_lineage(counted.where(~F.col("token").startswith("=") | (F.col("pages") >= LEAST_PAGES)))
+    tokens = counted.where(~F.col("token").startswith("="))
     # text of a slot: most of it is neither links nor the same from page to page
     each = learned.where("line is not null").groupBy("host", "parent", "token", "line").agg(F.sum("times").alias("times"), F.sum("mass").alias("mass"), F.sum("links").alias("links"))
     told = each.groupBy("host", "parent", "token").agg(F.sum(F.col("mass") / F.col("times")).alias("different"), F.sum("mass").alias("mass"), F.sum("links").alias("links"))
@@ -258,6 +281,9 @@ def main_slots(rows: DataFrame, least_share: float = 0.5, weight: float = 3.0, b
     once = tokens.where("pages > 0 and times = pages")
     classes = once.groupBy("host", "pages", "v1", "v0").agg(F.sort_array(F.collect_list(F.struct((F.col("place") / F.col("pages")).alias("place"), "token"))).alias("order"))
     classes = classes.where(F.size("order") >= 2).select("host", "pages", "v1", "v0", F.transform("order", lambda x: x["token"]).alias("order"))
+    # a line with the vector of a class is in the class
+    printed = counted.where(F.col("token").startswith("=") & (F.col("times") == F.col("pages"))).join(classes.select("host", "pages", "v1", "v0"), ["host", "pages", "v1", "v0"], "left_semi")
+    printed = printed.groupBy("host").agg(F.collect_set("token").alias("printed"))
     # one page has one order
     known = classes.where("pages > 1").groupBy("host").agg(F.collect_list("order").alias("classes")).join(pairs, "host", "full")
     known = cut_lineage(known)
@@ -280,7 +306,9 @@ def main_slots(rows: DataFrame, least_share: float = 0.5, weight: float = 3.0, b
     # what is only wrapped around a main slot has no text of its own
     alone = told.where("parent = ''").select("host", "token", F.lit(True).alias("text"))
     main = judged.join(alone, ["host", "token"], "left").where((F.col("own") >= least_share) | F.col("text")).groupBy("host").agg(F.collect_set("token").alias("slots"))
-    return main.join(pairs, "host", "left").select("host", F.concat("slots", F.coalesce("texts", F.array().cast("array<string>"))).alias("main"))
+    none = F.array().cast("array<string>")
+    joined = main.join(pairs, "host", "left").join(printed, "host", "left")
+    return joined.select("host", F.concat("slots", F.coalesce("texts", none), F.coalesce("printed", none)).alias("main"))
 
 
 _END = re.compile(r"[。！？.!?…”’」)）]$")
@@ -301,6 +329,13 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     2: a line to judge (id, line_no, the three feature keys, what is known of it).
     """
     counts: dict[int, list[int]] = {}
+
+    def flush() -> pa.RecordBatch:
+        at, n = list(counts), len(counts)
+        out = _rows([1] * n, [None] * n, [None] * n, at, [counts[k][0] for k in at], [counts[k][1] for k in at], [None] * n, [None] * n)
+        counts.clear()
+        return out
+
     for batch in batches:
         kind, ids, nos, keys, a, b, c, known = ([] for _ in range(8))
         for i, title, content, page, main in zip(*(batch.column(x).to_pylist() for x in range(5))):
@@ -314,12 +349,12 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 lines, _, whole = outline(page)
                 wanted = set(main or ())
                 for path, line, _ in lines if wanted else ():  # of a host without any template nothing is known
-                    (inside if _inside(path, wanted) else outside).add(line)
+                    (inside if _inside(path, wanted) and _text_token(line) not in wanted else outside).add(line)
             sure = whole and bool(inside)
             if sure:
                 for at, (no, line) in enumerate(rows):
                     article = line in inside or line == title
-                    if not article and not residue_sentences(line):
+                    if not article and not _residue(line):
                         kind.append(0)
                         ids.append(i)
                         nos.append(no)
@@ -327,15 +362,12 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                             x.append(None)
                     if line == title:
                         continue  # the headline is known wherever it stands; its look-alikes are links
-                    f = features(line, at)
-                    for k in f[article:]:  # a whole article line teaches nothing: it seldom recurs
+                    for k in features(line, at):
                         n = counts.get(k)
                         if n is None:
                             n = counts[k] = [0, 0]
                         n[article] += 1
             else:
-                # an error page is a few lines: those around its message belong to it
-                error = len(rows) <= 4 and any(MESSAGE.search(line) for _, line in rows if residue_sentences(line))
                 for at, (no, line) in enumerate(rows):
                     f = features(line, at)
                     kind.append(2)
@@ -344,15 +376,15 @@ def _extract_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                     keys.append(f[0])
                     a.append(f[1])
                     b.append(f[2])
-                    c.append(error or bool(residue_sentences(line)))
+                    c.append(_residue(line))
                     known.append(-1 if line == title or line in inside else 1 if line in outside else 0)
-        yield _rows(kind, ids, nos, keys, a, b, c, known, None)
-    at = list(counts)
-    n = len(at)
-    yield _rows([1] * n, [None] * n, [None] * n, at, [counts[k][0] for k in at], [counts[k][1] for k in at], [None] * n, [None] * n, None)
+        yield _rows(kind, ids, nos, keys, a, b, c, known)
+        if len(counts) > _HELD:
+            yield flush()
+    yield flush()
 
 
-def _rows(kind, ids, nos, keys, a, b, c, known, _) -> pa.RecordBatch:
+def _rows(kind, ids, nos, keys, a, b, c, known) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(kind, pa.int32()), pa.array(ids, pa.int64()), pa.array(nos, pa.int32()), pa.array(keys, pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(c, pa.bool_()), pa.array(known, pa.int32())],
         names=["kind", "id", "line_no", "key", "a", "b", "residue", "known"],
@@ -378,12 +410,18 @@ def furniture_states(odds: list[float], switch: float = 2.5) -> list[bool]:
 
 
 def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of (id, lines of (line_no, odds, residue)): the furniture lines."""
+    """Of (id, lines of (line_no, odds, residue)): the furniture lines.
+
+    Where nothing but residue is left as an article, the page is a server's answer: its lines are problem 4's.
+    """
     for batch in batches:
         ids, nos = [], []
         for i, lines in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             lines.sort(key=lambda x: x["line_no"])
-            for x, furniture in zip(lines, furniture_states([x["odds"] for x in lines])):
+            states = furniture_states([x["odds"] for x in lines])
+            if any(x["residue"] for x in lines) and all(furniture or x["residue"] for x, furniture in zip(lines, states)):
+                continue
+            for x, furniture in zip(lines, states):
                 if furniture and not x["residue"]:
                     ids.append(i)
                     nos.append(x["line_no"])

@@ -56,7 +56,7 @@ def test_joined_slots_are_the_same(spark):
 
 def test_main_slots(spark):
     df = frame(spark, rows()).select(F.lit("one").alias("host"), F.col("item_id").alias("key"), "raw_html")
-    assert {tuple(sorted(r["main"])) for r in b.main_slots(df).collect()} == {("div.main-box", "div.text")}
+    assert {tuple(sorted(x for x in r["main"] if x[0] != "=")) for r in b.main_slots(df).collect()} == {("div.main-box", "div.text")}
 
 
 def test_articles(spark):
@@ -109,7 +109,8 @@ def test_cut_pages_teach_no_vectors():
 
     batch = pa.RecordBatch.from_arrays([pa.array(["h", "h"]), pa.array([1, 2]), pa.array(["<body><div class=a>x</div></body>", "<body><div class=a>x"])], names=["host", "key", "raw_html"])
     (out,) = b._learn_batches(iter([batch]))
-    assert {r["token"]: r["pages"] for r in out.to_pylist()} == {"body": 1, "div.a": 1, "/div.a": 1}
+    assert {r["token"]: r["pages"] for r in out.to_pylist() if r["token"][0] != "="} == {"body": 1, "div.a": 1, "/div.a": 1}
+    assert [r["pages"] for r in out.to_pylist() if r["token"][0] == "="] == [1]
 
 
 def test_order_of_a_class_is_tested():
@@ -120,3 +121,43 @@ def test_order_of_a_class_is_tested():
     batch = pa.RecordBatch.from_arrays([pa.array(["h", "h"]), pa.array(pages), pa.array([order] * 2), pa.array([None] * 2, pa.list_(pa.string()))], names=["host", "raw_html", "classes", "texts"])
     (out,) = b._measure_batches(iter([batch]))
     assert {r["token"]: r["wrong"] for r in out.to_pylist()} == {"div.a": 1, "div.b": 1}
+
+
+def test_furniture_inside_the_main_container(spark):
+    """Share prompts and notices that the template prints among the paragraphs; lines that only some pages have are text."""
+    out, want = [], set()
+    for i in range(40):
+        own = [f"{p} ({chr(97 + i % 26)}{i})" for p in PARAGRAPHS]
+        some = ["A list of mills follows."] if i % 3 == 0 else []
+        lines = [own[0], "Share this story: mail, print", own[1], *some, f"Read {i * 3} times", own[2], "All rights reserved by the portal"]
+        page = f"<html><body><div class=nav><a>Home</a></div><div class=story><h1>Story {i}</h1>{''.join(f'<p>{x}</p>' for x in lines)}</div></body></html>"
+        content = ["Home", f"Story {i}", *lines]
+        out.append((i, f"https://h.example/{i}", f"Story {i}", "\n".join(content), page))
+        want |= {(i, no) for no, x in enumerate(content, 1) if x == "Home" or x.startswith(("Share this", "Read ", "All rights"))}
+    assert {tuple(r) for r in b.furniture_lines(frame(spark, out)).collect()} == want
+
+
+def test_answers_are_left_to_residue(spark):
+    data = rows() + [(200 + i, "https://h0.example/e", "Oops", "Internal Server Error.\nHome", None) for i in range(2)]
+    got = {tuple(r) for r in b.furniture_lines(frame(spark, data)).collect()}
+    assert got == truth(rows())
+
+
+def test_held_cells_are_handed_on(spark, monkeypatch):
+    import pyarrow as pa
+
+    data = rows()
+    batch = pa.RecordBatch.from_arrays([pa.array(["h"] * 30), pa.array(list(range(30))), pa.array([r[4] for r in data[:30]])], names=["host", "key", "raw_html"])
+    whole = _sum(list(b._learn_batches(iter([batch]))))
+    monkeypatch.setattr(b, "_HELD", 5)
+    parts = list(b._learn_batches(iter([batch])))
+    assert len(parts) > 5 and _sum(parts) == whole
+
+
+def _sum(parts):
+    out = {}
+    for p in parts:
+        for r in p.to_pylist():
+            k = (r["token"], r["parent"], r["line"])
+            out[k] = out.get(k, 0) + (r["times"] or 0)
+    return out
