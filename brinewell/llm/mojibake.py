@@ -5,8 +5,10 @@ A latent variable z names the chain of encodings a field went through: none, or
 its characters under the corpus' own character frequencies, which are counted over all
 rows. Expectation-maximization per source and field pools the weak evidence of single
 records: E, the posterior of every record's chain from its likelihoods and the source's
-mixture; M, the mixture from the posteriors, smoothed by the mixture of all sources. A
-field is garbled if its posterior of no chain is below a half, and is restored by the
+mixture; M, the mixture from the posteriors, smoothed by the mixture of all sources. All
+evidence is pooled, however weak; what chance gives is taken off before: a stretch counts for
+what it gains beyond the logarithm of the number of stretches and chains tried in its field.
+A field is garbled if its posterior of no chain is below a half, and is restored by the
 chain of the highest posterior. Characters lost in decoding (U+FFFD) are evidence by
 themselves; what they stood for isn't restored.
 """
@@ -26,6 +28,8 @@ from brinewell.functions.urls import host_of
 from brinewell.session import cut_lineage
 
 _LOST = "�"
+#: A stretch between marks, with a character beyond ASCII.
+_CLAUSE = re.compile(r"[^\n。，！？；]*[^\x00-\x7f\n。，！？；][^\n。，！？；]*")
 
 
 def _byte_table(codec: str) -> dict[str, int]:
@@ -83,23 +87,21 @@ def _undo_double(s: str) -> str:
 
 
 def _undo_codec(wrong: str, right: str):
-    """For wrong codes of several bytes: encode clauses back and decode them; what was lost stays lost."""
-    clause = re.compile(r"[^\n。，！？；]*[^\x00-\x7f\n。，！？；][^\n。，！？；]*")
+    """For wrong codes of several bytes: encode a clause back and decode it; what was lost stays lost."""
 
-    def one(m: re.Match) -> str:
-        s = m.group()
+    def one(s: str) -> str:
         raw = bytearray()
         for c in s:
             try:
                 raw += c.encode(wrong)
             except UnicodeEncodeError:
-                if c == _LOST or "" <= c <= "":
+                if c == _LOST or "\ue000" <= c <= "\uf8ff":
                     raw += b"\xff"
                 else:
                     return s
         return bytes(raw).decode(right, "replace")
 
-    return lambda s: clause.sub(one, s)
+    return lambda s: _CLAUSE.sub(lambda m: one(m.group()), s)
 
 
 #: The chains: what was written -> what it was read as. Each undoes what it can and leaves the rest.
@@ -146,60 +148,56 @@ _ODD = re.compile("[\x80-\x9f\xa0-ɏˆ˜Ѐ-ӿ-�｡-ﾟ]")
 _CJK = re.compile("[㐀-鿿豈-﫿㄀-ㄯ︰-﹯]")
 
 
-#: Less evidence than this in a whole field is chance: pooled over a source it would add up to certainty.
-_LEAST = 6.0
+def _stretches(text: str) -> list[str]:
+    return [m.group() for m in _CLAUSE.finditer(text)]
 
 
 def evidence(text: str, frequencies: Frequencies, rare: float) -> list[float] | None:
     """Log-likelihood ratio of every chain to no chain, or None if the field shows nothing odd.
 
-    Chains are judged line by line; a line that a chain makes no likelier counts as untouched by
-    it. The last value is the evidence of characters that are lost for good.
+    Chains are judged stretch by stretch, a stretch being a clause; one that a chain makes no likelier
+    counts as untouched by it. With n stretches and chains tried, one gains log(n) by chance, which is
+    taken off each. The last value is the evidence of characters that are lost for good.
     """
-    odd = _ODD.search(text) is not None or _TWICE_LOST[0] in text
-    lines = [x for x in text.split("\n") if x and not x.isascii()]
-    if not odd:
+    parts = _stretches(text)
+    toll = math.log(max(1, len(parts)) * len(_NAMES))
+    if _ODD.search(text) is None and _TWICE_LOST[0] not in text:
         # characters of the wrong code may all be common letters of the right one: look at rarity
-        lines = [x for x in lines if _mean(x, frequencies) < rare]
-    if not lines:
+        parts = [x for x in parts if _mean(x, frequencies) < rare]
+    if not parts:
         return None
     gains = [0.0] * (len(_NAMES) + 1)
-    for line in lines:
+    for part in parts:
         was = None
         for k, name in enumerate(_NAMES):
-            now = CHAINS[name](line)
-            if now == line:
+            now = CHAINS[name](part)
+            if now == part:
                 continue
             if was is None:
-                was = frequencies.score(line)
-            gain = frequencies.score(now) - was
-            if gain > 0:
-                gains[k] += gain
-        lost = line.count(_LOST) + sum(map(line.count, _TWICE_LOST))
-        if lost:
-            gains[-1] += 12.0 * lost
-    gains = [g if g >= _LEAST else 0.0 for g in gains]
+                was = frequencies.score(part)
+            gains[k] += max(0.0, frequencies.score(now) - was - toll)
+        lost = part.count(_LOST) + sum(map(part.count, _TWICE_LOST))
+        gains[-1] += 12.0 * lost
     return gains if any(gains) else None
 
 
-def _mean(line: str, frequencies: Frequencies) -> float:
-    n = sum(1 for c in line if c > "\x7f")
-    return frequencies.score(line) / n if n else 0.0
+def _mean(part: str, frequencies: Frequencies) -> float:
+    a = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+    a = a[a > 127]
+    return float(frequencies.table[a].mean()) if len(a) else 0.0
 
 
 def restore(text: str, chain: str, frequencies: Frequencies) -> str:
-    """The text with every line undone by the chain where that makes the line likelier."""
+    """The text with every stretch undone by the chain where that makes the stretch likelier."""
     if chain not in CHAINS:
         return text
     undo = CHAINS[chain]
 
-    def one(line: str) -> str:
-        if line.isascii():
-            return line
-        now = undo(line)
-        return now if now != line and frequencies.score(now) > frequencies.score(line) else line
+    def one(m: re.Match) -> str:
+        now = undo(m.group())
+        return now if now != m.group() and frequencies.score(now) > frequencies.score(m.group()) else m.group()
 
-    return "\n".join(one(line) for line in text.split("\n"))
+    return _CLAUSE.sub(one, text)
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,8 +244,8 @@ def garbled_fields(items: DataFrame, id_col: str = "item_id", rounds: int = 4, p
 
     ``prior`` is the starting share of every chain, ``weight`` the number of rows that the mixture
     of all sources counts for in one source's. Null, empty and pure ASCII fields are clean. The
-    source is the host of the address. ``rare`` is the mean log-probability below which a line of
-    ordinary letters is examined.
+    source is the host of the address. ``rare`` is the mean log-probability below which a stretch of
+    ordinary letters is examined. A repeated row gives one case.
     """
     rows = items.select(
         F.col(id_col).cast("long").alias("id"), F.lower(host_of(F.coalesce("normalized_url", "url", F.lit("")))).alias("source"), "title", "content"
@@ -255,46 +253,52 @@ def garbled_fields(items: DataFrame, id_col: str = "item_id", rounds: int = 4, p
     frequencies = character_frequencies(rows, ["title", "content"])
     shared = items.sparkSession.sparkContext.broadcast(frequencies)
     odd = cut_lineage(rows.mapInArrow(_evidence_batches(shared, rare), "id long, source string, field_name string, gains array<double>"))
-    total = rows.groupBy("source").agg(F.count("*").alias("n"))
+    total = cut_lineage(rows.groupBy("source").agg(F.count("*").alias("n")))
     n_chains = len(_NAMES) + 1
-    # one row for each odd field and chain; chain 0 is none
-    long = odd.select("id", "source", "field_name", F.posexplode(F.concat(F.array(F.lit(0.0)), "gains")).alias("z", "gain"))
-    mixture = None
+    every = range(n_chains)
+
+    mass = None
     for _ in range(rounds):
-        if mixture is None:
-            weighted = long.withColumn("log_prior", F.when(F.col("z") == 0, F.lit(math.log(1 - n_chains * prior))).otherwise(F.lit(math.log(prior))))
-        else:
-            weighted = long.join(mixture, ["source", "field_name", "z"]).select(*long.columns, "log_prior")
-        # E: posteriors, from the best chain to keep the exponents small
-        best = weighted.groupBy("id", "field_name").agg(F.max(F.col("gain") + F.col("log_prior")).alias("top"))
-        scored = weighted.join(best, ["id", "field_name"]).withColumn("w", F.exp(F.col("gain") + F.col("log_prior") - F.col("top")))
-        norm = scored.groupBy("id", "field_name").agg(F.sum("w").alias("sum"))
-        posterior = scored.join(norm, ["id", "field_name"]).select("id", "source", "field_name", "z", "gain", (F.col("w") / F.col("sum")).alias("p"))
-        posterior = cut_lineage(posterior)
+        # E, in the row: weights of no chain and of each, from the greatest to keep the exponents small
+        posterior = _posteriors(odd, _mixture(mass, total, n_chains, prior, weight), n_chains, prior)
         # M: every field without evidence is clean for certain
-        mass = posterior.where("z > 0").groupBy("source", "field_name", "z").agg(F.sum("p").alias("mass"))
-        overall = mass.groupBy("field_name", "z").agg(F.sum("mass").alias("all")).crossJoin(F.broadcast(total.agg(F.sum("n").alias("rows"))))
-        share = overall.select("field_name", "z", ((F.col("all") + prior) / (F.col("rows") + n_chains * prior + 1)).alias("share"))
-        cells = posterior.where("z > 0").select("source", "field_name", "z").distinct()
-        pi = (
-            cells.join(mass, ["source", "field_name", "z"], "left")
-            .join(F.broadcast(share), ["field_name", "z"])
-            .join(total, "source")
-            .select("source", "field_name", "z", ((F.coalesce("mass", F.lit(0.0)) + weight * F.col("share")) / (F.col("n") + weight)).alias("pi"))
-        )
-        none = pi.groupBy("source", "field_name").agg(F.sum("pi").alias("s")).select("source", "field_name", F.lit(0).alias("z"), F.greatest(1 - F.col("s"), F.lit(1e-6)).alias("pi"))
-        mixture = cut_lineage(pi.unionByName(none).select("source", "field_name", "z", F.log(F.greatest("pi", F.lit(1e-6))).alias("log_prior")))
-    clean = posterior.where("z = 0").select("id", "field_name", F.col("p").alias("clean"))
-    top = posterior.where("z > 0").groupBy("id", "source", "field_name").agg(F.max(F.struct("p", "z")).alias("m"))
+        mass = cut_lineage(posterior.groupBy("source", "field_name").agg(*[F.sum(F.col("p")[z]).alias(f"m{z}") for z in every]))
+    posterior = _posteriors(odd, _mixture(mass, total, n_chains, prior, weight), n_chains, prior)
     names = F.array(*[F.lit(x) for x in [*_NAMES, "lost"]])
-    found = (
-        top.join(clean, ["id", "field_name"])
-        .where("clean < 0.5")
-        .select("id", "source", "field_name", F.element_at(names, F.col("m.z")).alias("chain"), (1 - F.col("clean")).alias("posterior"))
-    )
+    best = F.array_position("p", F.array_max("p")).cast("int")
+    found = posterior.where("clean < 0.5").select("id", "source", "field_name", F.element_at(names, best).alias("chain"), (1 - F.col("clean")).alias("posterior"))
     return found.withColumnRenamed("id", id_col).distinct(), frequencies
 
 
+def _mixture(mass: DataFrame | None, total: DataFrame, n_chains: int, prior: float, weight: float) -> DataFrame | None:
+    """(source, field_name, log_prior): logarithms of the shares of no chain and of each, a source's smoothed by all sources'."""
+    if mass is None:
+        return None
+    every = range(n_chains)
+    rows = F.broadcast(total.agg(F.sum("n").alias("rows")))  # one row
+    overall = mass.groupBy("field_name").agg(*[F.sum(f"m{z}").alias(f"a{z}") for z in every]).crossJoin(rows)  # at most two rows
+    joined = mass.join(F.broadcast(overall), "field_name").join(total, "source")
+    share = [(F.col(f"m{z}") + weight * (F.col(f"a{z}") + prior) / (F.col("rows") + n_chains * prior + 1)) / (F.col("n") + weight) for z in every]
+    none = F.lit(1.0)
+    for x in share:
+        none = none - x
+    return joined.select("source", "field_name", F.transform(F.array(none, *share), lambda x: F.log(F.greatest(x, F.lit(1e-6)))).alias("log_prior"))
+
+
+def _posteriors(odd: DataFrame, mixture: DataFrame | None, n_chains: int, prior: float) -> DataFrame:
+    """odd with ``clean``, the probability of no chain, and ``p``, that of each chain."""
+    if mixture is None:
+        first = [math.log(1 - n_chains * prior), *[math.log(prior)] * n_chains]
+        rows = odd.withColumn("log_prior", F.array(*[F.lit(x) for x in first]))
+    else:
+        rows = odd.join(mixture, ["source", "field_name"])
+    rows = rows.withColumn("w", F.zip_with(F.concat(F.array(F.lit(0.0)), "gains"), "log_prior", lambda g, q: g + q))
+    rows = rows.withColumn("w", F.transform("w", lambda x: F.exp(x - F.array_max("w"))))
+    rows = rows.withColumn("sum", F.aggregate("w", F.lit(0.0), lambda a, x: a + x))
+    p = F.transform("w", lambda x: x / F.col("sum"))
+    return rows.select("id", "source", "field_name", (F.col("w")[0] / F.col("sum")).alias("clean"), F.slice(p, 2, n_chains).alias("p"))
+
+
 def restored_fields(items: DataFrame, id_col: str = "item_id", **options) -> DataFrame:
     """(id, field_name, chain, posterior, text, whole): garbled fields with their text restored.
 

@@ -71,6 +71,45 @@ def test_fields_are_found_and_restored(spark):
     assert sum(out[k]["whole"] for k in want) >= 3 and out[402, "title"]["chain"] == "lost" and not out[402, "title"]["whole"]
 
 
+def test_weak_evidence_is_pooled(spark, monkeypatch):
+    """One record's 4 nats are no proof; where most records of a source have as much, they are."""
+    monkeypatch.setattr(m, "_evidence_batches", lambda shared, rare: _four_nats())
+    rows = [(i, f"https://bad.example/{i}", None, "é" if i % 10 < 7 else "中", "中") for i in range(400)]
+    rows += [(1000 + i, f"https://good.example/{i}", None, "é" if i % 200 == 0 else "中", "中") for i in range(1000)]
+    got = {tuple(r)[:3] for r in m.garbled_fields(items(spark, rows), weight=20.0)[0].select("item_id", "field_name", "chain").collect()}
+    assert got == {(i, "title", "utf8_as_cp1252") for i in range(400) if i % 10 < 7}
+
+
+def _four_nats():
+    """Evidence of 4 nats for every title with an accent."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            ids, sources, gains = [], [], []
+            for i, source, title in zip(*(batch.column(c).to_pylist() for c in range(3))):
+                if "é" in title:
+                    ids.append(i)
+                    sources.append(source)
+                    gains.append([4.0] + [0.0] * 10)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids, pa.int64()), pa.array(sources), pa.array(["title"] * len(ids), pa.string()), pa.array(gains, pa.list_(pa.float64()))], names=["id", "source", "field_name", "gains"]
+            )
+
+    return run
+
+
+@pytest.mark.parametrize("way", ["utf8_as_gbk", "gbk_as_big5"])
+def test_one_clause_of_a_long_line(way, frequencies):
+    clause = "统计显示，新生对课程设计的满意度比上一轮提高".split("，")[1]
+    bad = WAYS[way](clause)
+    line = "，".join([ZH[0][:-1], ZH[1][:-1], bad, ZH[2][:-1], ZH[0][:-1], ZH[1][:-1]] * 1) + "。"
+    assert m.evidence(line, frequencies, -8.5)
+    back = m.restore(line, way, frequencies)
+    assert back.startswith(ZH[0][:-1]) and back.endswith(ZH[1]) and back != line
+
+
 def test_empty_table(spark):
     df = items(spark, [(1, "u", "u", "t", "c")]).where("false")
     assert m.garbled_fields(df)[0].collect() == [] and m.restored_fields(df).collect() == []
