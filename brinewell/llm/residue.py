@@ -114,9 +114,12 @@ def is_filler(sentence: str) -> bool:
     return bool(_WORDS.match(s)) and not _FUNCTION.intersection(s.lower().split())
 
 
+_BROKEN = re.compile("[\x80-\u024f€‚„…†‡ˆ‰‹‘’“”•–—˜™›�]")
+
+
 def _unreadable(s: str) -> bool:
     """A fifth or more of the characters are those that wrong single-byte decoding leaves: words can't be judged."""
-    return sum(1 for c in s if "\x80" <= c < "\u0250" or c in "€‚„…†‡ˆ‰‹‘’“”•–—˜™›�") * 5 >= len(s)
+    return len(_BROKEN.findall(s)) * 5 >= len(s)
 
 
 def _readings(s: str) -> list[str]:
@@ -156,11 +159,12 @@ def _sentences(text: str) -> list[str]:
 def template_sentences(text: str) -> list[str]:
     """The sentences of a text with unfilled placeholders or filler; garbled ones are judged by what they may have been."""
     out = []
+    marked, broken = PLACEHOLDER.search(text) is not None, _BROKEN.search(text) is not None
     for s in _sentences(text):
-        if not s.isascii() and _unreadable(s):
+        if broken and not s.isascii() and _unreadable(s):
             if any(_unfilled(x) for x in _readings(s)):
                 out.append(s)
-        elif _unfilled(s) or is_filler(s):
+        elif (marked and _unfilled(s)) or is_filler(s):
             out.append(s)
     return out
 
@@ -193,6 +197,13 @@ def _terms(text: str) -> set[str]:
     return set(re.findall(r"[a-z]{3,}", t)) | {c[i : i + 2] for c in cjk for i in range(len(c) - 1)}
 
 
+def shared_terms(terms: set[str], text: str) -> int:
+    """How many of the terms a text has."""
+    t = text.lower()
+    words = set(re.findall(r"[a-z]{3,}", t)) if any(x.isascii() for x in terms) else ()
+    return sum((x in words) if x.isascii() else (x in t) for x in terms)
+
+
 #: Factors and masks of the permutations that unlike bodies are counted by (fixed values, odd factors).
 _FACTORS = np.array([(2 * k + 1) * 0x9E3779B97F4A7C15 % 2**64 | 1 for k in range(16)], np.uint64)
 _MASKS = np.array([(k + 1) * 0xD6E8FEB86659FD93 % 2**64 for k in range(16)], np.uint64)
@@ -221,7 +232,7 @@ def _compare_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             kept = "\n".join(x for x in (content or "").split("\n") if x.strip() != t)
             # most titles share a common step or word with any long text: half of the terms tell
             own = _terms(t)
-            apart.append(not own or 2 * len(own & _terms(kept)) < len(own))
+            apart.append(not own or 2 * shared_terms(own, kept) < len(own))
             least.append(minima(kept))
         yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("title_hash"), pa.array(apart), pa.array(least, pa.list_(pa.int64()))], names=["host", "title_hash", "apart", "least"])
 
@@ -256,7 +267,7 @@ def _scan_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 terms = _own_terms(t, url or "")
                 kept = [s for s in _sentences(content) if s != t]
                 # an unlike text may share a common step or word with a title: half of the terms tell
-                if kept and (not terms or 2 * len(terms & _terms(_PATH.sub(" ", "\n".join(kept)))) < len(terms)):
+                if kept and (not terms or 2 * shared_terms(terms, _PATH.sub(" ", "\n".join(kept))) < len(terms)):
                     own = [{"s": _hash(_DIGITS.sub("#", s)), "n": len(s), "m": m} for s, m in messages(content) if s != t]
             sentences.append(own)
         yield pa.RecordBatch.from_arrays(
