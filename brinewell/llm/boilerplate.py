@@ -28,7 +28,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brinewell.functions.urls import host_of
@@ -249,7 +249,15 @@ def _measure_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     )
 
 
-def main_slots(rows: DataFrame, least_share: float = 0.5, weight: float = 3.0, broadcast_hosts: int = 200_000) -> DataFrame:
+def _broadcast_if_small(table: DataFrame, columns: list[Column], most: int) -> DataFrame:
+    """The table with a broadcast hint if its texts, measured, have at most so many bytes."""
+    size = F.lit(0).cast("long")
+    for c in columns:
+        size = size + F.coalesce(F.octet_length(F.concat_ws(" ", c)), F.lit(0)) + 32
+    return F.broadcast(table) if (table.agg(F.sum(size).alias("n")).first()["n"] or 0) <= most else table
+
+
+def main_slots(rows: DataFrame, least_share: float = 0.5, weight: float = 3.0, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(host, main array<string>): the slots of each host's template that hold most of their pages' text, and the template's own text.
 
     A slot nested in another as part of its text is named by both, with a tab between; a line of the
@@ -286,8 +294,7 @@ def main_slots(rows: DataFrame, least_share: float = 0.5, weight: float = 3.0, b
     printed = printed.groupBy("host").agg(F.collect_set("token").alias("printed"))
     # one page has one order
     known = classes.where("pages > 1").groupBy("host").agg(F.collect_list("order").alias("classes")).join(pairs, "host", "full")
-    known = cut_lineage(known)
-    known = F.broadcast(known) if known.count() <= broadcast_hosts else known
+    known = _broadcast_if_small(cut_lineage(known), [F.col("host"), F.flatten("classes"), F.col("texts")], broadcast_bytes)
     measured = cut_lineage(
         rows.join(known, "host", "left").select("host", "raw_html", "classes", "texts").mapInArrow(_measure_batches, "host string, token string, own long, mass long, total long, wrong long")
         .groupBy("host", "token").agg(*[F.sum(c).alias(c) for c in ("own", "mass", "total", "wrong")])
@@ -428,17 +435,17 @@ def _judge_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(nos, pa.int32())], names=["item_id", "line_no"])
 
 
-def furniture_lines(items: DataFrame, broadcast_hosts: int = 200_000) -> DataFrame:
+def furniture_lines(items: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
     """(item_id, line_no): the non-blank lines of content that are not part of the article.
 
     Lines are split at newlines and count from 1, blank ones included. Null and empty contents
     have none; a repeated item gives its lines once. Lines that are template residue are left out.
-    The host is that of the address, whatever source_site says. Up to ``broadcast_hosts`` hosts
-    their slots are broadcast, beyond that they are joined by a shuffle.
+    The host is that of the address, whatever source_site says. The hosts' templates are broadcast
+    if they have at most ``broadcast_bytes``, else they are joined by a shuffle.
     """
     rows = items.select(F.col("item_id").cast("long").alias("id"), F.lower(host_of(F.coalesce("normalized_url", "url", F.lit("")))).alias("host"), "title", "content", "raw_html").where("id is not null")
-    slots = cut_lineage(main_slots(rows.select("host", F.col("id").alias("key"), "raw_html"), broadcast_hosts=broadcast_hosts))
-    slots = F.broadcast(slots) if slots.count() <= broadcast_hosts else slots
+    slots = cut_lineage(main_slots(rows.select("host", F.col("id").alias("key"), "raw_html"), broadcast_bytes=broadcast_bytes))
+    slots = _broadcast_if_small(slots, [F.col("host"), F.col("main")], broadcast_bytes)
     joined = rows.where("content is not null and content <> ''").join(slots, "host", "left").select("id", "title", "content", "raw_html", "main")
     out = cut_lineage(joined.mapInArrow(_extract_batches, "kind int, id long, line_no int, key long, a long, b long, residue boolean, known int"))
     sure = out.where("kind = 0").select(F.col("id").alias("item_id"), "line_no")

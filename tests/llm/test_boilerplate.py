@@ -50,7 +50,7 @@ def test_furniture_of_whole_cut_and_missing_pages(spark):
 
 def test_joined_slots_are_the_same(spark):
     data = rows()
-    got = {tuple(r) for r in b.furniture_lines(frame(spark, data), broadcast_hosts=0).collect()}
+    got = {tuple(r) for r in b.furniture_lines(frame(spark, data), broadcast_bytes=0).collect()}
     assert got == truth(data)
 
 
