@@ -34,10 +34,11 @@ def _summaries(epsilon: float):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         entries: dict[str, list[int]] = {}
-        bucket, filled = 1, 0
+        bucket, filled, rows = 1, 0, 0
         for batch in batches:
             column = batch.column(0)
             at = 0
+            rows += len(column)
             while at < len(column):
                 part = column.slice(at, width - filled)
                 counts = pc.value_counts(part)
@@ -54,9 +55,9 @@ def _summaries(epsilon: float):
                 if filled == width:
                     entries = {v: e for v, e in entries.items() if e[0] + e[1] > bucket}
                     bucket, filled = bucket + 1, 0
-        if entries or bucket > 1:
-            # the row without a value tells this partition's largest undercount
-            values, counts, deltas = [None], [0], [bucket - 1]
+        if rows:
+            # the row without a value tells this partition's rows and its largest undercount
+            values, counts, deltas = [None], [rows], [bucket - 1]
             for v, (n, d) in entries.items():
                 values.append(v)
                 counts.append(n)
@@ -82,10 +83,9 @@ def frequent_values(df: DataFrame, value: Column, support: float, min_count: int
     cleaned = source.select(F.when(F.col("value") != "", F.col("value")).alias("value"))
     summary = cut_lineage(cleaned.mapInArrow(_summaries(epsilon), "value string, low long, delta long"))
     merged = summary.groupBy("value").agg(F.sum("low").alias("low"), F.sum("delta").alias("delta"))
-    total = df.agg(F.count("*").alias("rows"))
-    # one row each; a partition without an entry for a value adds its last bucket to the bound
-    worst = summary.where("value is null").agg(F.coalesce(F.sum("delta"), F.lit(0)).alias("worst"))
-    both = merged.where("value is not null").join(F.broadcast(worst.crossJoin(total)))
+    # one row; a partition without an entry for a value adds its last bucket to the bound
+    worst = summary.where("value is null").agg(F.coalesce(F.sum("delta"), F.lit(0)).alias("worst"), F.coalesce(F.sum("low"), F.lit(0)).alias("rows"))
+    both = merged.where("value is not null").crossJoin(F.broadcast(worst))
     return both.select("value", "low", (F.col("low") + F.col("delta") + F.col("worst")).alias("high"), "rows").where(
         (F.col("high") >= F.lit(support) * F.col("rows")) & (F.col("high") >= min_count)
     )

@@ -33,6 +33,12 @@ def p2_intervals(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.col("value").alias("query_text"), "count", ((F.col("low") <= F.col("count")) & (F.col("count") <= F.col("high"))).alias("held"))
 
 
+def p2_summary(spark: SparkSession, d: str) -> DataFrame:
+    """The one pass's values with the intervals that hold their counts, no second look at the table."""
+    logs = load(spark, d, "query_logs")
+    return heavy_hitters.frequent_values(logs, heavy_hitters.normal_query(F.col("query_text")), 0.002, 5).select(F.col("value").alias("query_text"), "low", "high", "rows")
+
+
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return boilerplate.furniture_lines(load(spark, d, "page_items"))
 
@@ -49,6 +55,12 @@ def p4_cleaned(spark: SparkSession, d: str) -> DataFrame:
     return residue.without_residue(load(spark, d, "page_items").select("item_id", "url", "normalized_url", "title", "content")).select("item_id", "title", "content")
 
 
+def p4_arms(spark: SparkSession, d: str) -> DataFrame:
+    """What problem 4's fields are found by."""
+    found = residue.residue_by_arm(load(spark, d, "page_items"))
+    return found.groupBy("field_name", "arm").agg(F.count("*").alias("cnt"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return mojibake.garbled_fields(load(spark, d, "page_items"))[0].select("item_id", "field_name").distinct()
 
@@ -78,5 +90,5 @@ def p10_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_intervals, p3_found, p3_articles, p4_found, p4_cleaned, p5_found, p5_restored, p6_found, p6_cleaned, p8_ids, p9_found, p10_pieces)
+    f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_intervals, p2_summary, p3_found, p3_articles, p4_found, p4_cleaned, p4_arms, p5_found, p5_restored, p6_found, p6_cleaned, p8_ids, p9_found, p10_pieces)
 }

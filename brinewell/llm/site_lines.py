@@ -72,21 +72,25 @@ def without_site_lines(items: DataFrame, pages: DataFrame, min_docs: int = 5, mi
     Kept lines stay as stored and in order. Items of no registered site come back unchanged;
     null contents stay null; a repeated item_id gives a row for each repetition.
     """
-    frequent = cut_lineage(_frequent(items, pages, min_docs, min_share).groupBy("site").agg(F.collect_list("h").alias("bad")))
-    site = pages.select(F.col("normalized_url").alias("url"), F.col("source_site").alias("site")).where("url is not null and site is not null and site <> ''")
-    rows = items.select("item_id", F.col("normalized_url").alias("url"), "content").join(site, "url", "left").join(frequent, "site", "left")
+    frequent = cut_lineage(_frequent(items, pages, min_docs, min_share).select("site", "h"))
+    hashes = F.array_distinct(F.transform(normal_lines(F.col("content")), lambda x: F.xxhash64(x)))
+    # hashes move to the frequent lines, by site and line, so a large site is many keys; the texts move once, by item
+    lines = _sited(items, pages).select("item_id", "url", "site", F.explode(hashes).alias("h"))
+    bad = lines.join(frequent, ["site", "h"]).groupBy("item_id", "url").agg(F.collect_set("h").alias("bad"))
+    rows = items.select("item_id", F.col("normalized_url").alias("url"), "content")
+    rows = rows.join(bad.select(F.col("item_id").alias("__i"), F.col("url").alias("__u"), "bad"), F.col("item_id").eqNullSafe(F.col("__i")) & (F.col("url") == F.col("__u")), "left")
     raw = F.split("content", "\n", -1)
     norm = F.transform(
         F.split(F.regexp_replace(F.regexp_replace("content", _BLANK, " "), "[0-9]+", "#"), "\n", -1),
         lambda x: F.regexp_replace(x, "^[ \\r\\f\\x0B]+|[ \\r\\f\\x0B]+$", ""),
     )
-    bad = F.coalesce("bad", F.array().cast("array<bigint>"))
     keep = F.filter(
-        F.zip_with(raw, norm, lambda r, n: F.struct(r.alias("r"), ((n == "") | ~F.array_contains(bad, F.xxhash64(n))).alias("keep"))),
+        F.zip_with(raw, norm, lambda r, n: F.struct(r.alias("r"), ((n == "") | ~F.array_contains("bad", F.xxhash64(n))).alias("keep"))),
         lambda s: s["keep"],
     )
+    kept = F.array_join(F.transform(keep, lambda s: s["r"]), "\n")
     return rows.select(
         "item_id",
-        F.array_join(F.transform(keep, lambda s: s["r"]), "\n").alias("content"),
-        F.coalesce(F.size(raw) - F.size(keep), F.lit(0)).alias("removed"),
+        F.when(F.col("bad").isNull(), F.col("content")).otherwise(kept).alias("content"),
+        F.when(F.col("bad").isNull(), F.lit(0)).otherwise(F.size(raw) - F.size(keep)).alias("removed"),
     )

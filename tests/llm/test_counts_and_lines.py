@@ -14,13 +14,25 @@ def test_frequent_values_bounds(spark):
     df = spark.createDataFrame([(v,) for v in values], "value string").repartition(5)
     truth = Counter(values)
     rows = hh.frequent_values(df, F.col("value"), 0.01, epsilon=0.002).collect()
-    assert {"hot", "warm"} <= {r["value"] for r in rows}
+    assert {"hot", "warm"} <= {r["value"] for r in rows} and {r["rows"] for r in rows} == {len(values)}
     for r in rows:
         assert r["low"] <= truth[r["value"]] <= r["high"] and r["high"] - r["low"] <= 0.002 * len(values) + 5
     exact = {r["value"]: r["count"] for r in hh.frequent_values_exact(df, F.col("value"), 0.01, epsilon=0.002).collect()}
     assert exact == {v: n for v, n in truth.items() if v and n >= 0.01 * len(values)}
 
 
+def test_intervals_hold_on_the_query_logs(spark):
+    from brinewell.llm.queries import QUERIES
+
+    d = "/root/testdata/sf0.01"
+    logs = spark.read.parquet(f"{d}/query_logs.parquet").select(hh.normal_query(F.col("query_text")).alias("v"))
+    truth = Counter(r["v"] for r in logs.collect())
+    rows = QUERIES["p2_summary"](spark, d).collect()
+    n = sum(truth.values())
+    assert all(r["low"] <= truth[r["query_text"]] <= r["high"] and r["rows"] == n for r in rows)
+    assert {v for v, c in truth.items() if v and c >= 5 and c >= 0.002 * n} <= {r["query_text"] for r in rows}
+
+
 def test_frequent_values_ties_and_empty(spark):
     df = spark.createDataFrame([("a",)] * 5 + [("b",)] * 5 + [("c",)] * 4, "value string")
     assert {r["value"] for r in hh.frequent_values_exact(df, F.col("value"), 0.002, 5).collect()} == {"a", "b"}
@@ -51,6 +63,9 @@ def test_site_lines(spark):
 def test_without_site_lines(spark):
     items, pages = _site_tables(spark)
     got = {r["item_id"]: (r["content"], r["removed"]) for r in sl.without_site_lines(items, pages, 5, 0.3).collect()}
+    twice = items.unionByName(items.where("item_id = 0")).unionByName(items.where("item_id = 1").withColumn("item_id", F.lit(None).cast("long")))
+    again = [(r["item_id"], r["content"], r["removed"]) for r in sl.without_site_lines(twice, pages, 5, 0.3).collect()]
+    assert again.count((0, "line a\n", 2)) == 2 and (None, "line b\n", 2) in again and len(again) == 27
     assert got[0] == ("line a\n", 2) and got[101] == ("Footer 1", 0) and got[103] == (None, 0) and got[104] == ("", 0) and len(got) == 25
 
 
