@@ -93,3 +93,26 @@ def test_plan_takes_more_pieces_when_a_limit_fails():
     pieces = sp.plan(strength, 400, 20)
     assert pieces[-1][1] == 1000 and all(b - a <= 400 for a, b, _ in pieces) and all(y[0] == x[1] - 20 for x, y in zip(pieces, pieces[1:]))
     assert sp.plan(np.zeros(11, int), 400, 20) == [(0, 10, sp.END)]
+
+
+def test_pieces_of_all_documents(spark):
+    """Limit, overlap, coverage and boundaries of every piece, by the public encoder."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    pieces = {}
+    for r in sp.split_long_texts(docs, "doc_id", "text", 2048, 64).collect():
+        pieces.setdefault(r["doc_id"], []).append(r)
+    sizes = {i: len(OTHER.encode_ordinary(t)) for i, t in texts.items() if t}
+    assert set(pieces) == {i for i, n in sizes.items() if n > 2048}
+    for i, rows in pieces.items():
+        rows.sort(key=lambda r: r["piece_no"])
+        ids = OTHER.encode_ordinary(texts[i])
+        assert rows[0]["start_token"] == 0 and rows[-1]["end_token"] == len(ids) and [r["piece_no"] for r in rows] == list(range(1, rows[0]["n_pieces"] + 1))
+        assert len(rows) >= -(-(len(ids) - 64) // (2048 - 64))
+        for r in rows:
+            raw = b"".join(OTHER.decode_single_token_bytes(t) for t in ids[r["start_token"] : r["end_token"]])
+            assert r["n_tokens"] == r["end_token"] - r["start_token"] <= 2048 and len(OTHER.encode_ordinary(r["text"])) <= 2048
+            assert raw.decode("utf-8", "ignore") in r["text"] and len(r["text"].encode()) - len(raw) <= 6
+            if r["boundary"] == "sentence":
+                assert r["text"].rstrip(" \t\u3000")[-1] in ".!?…；。！？”’」』）)\"'"
+        assert all(b["start_token"] == a["end_token"] - 64 for a, b in zip(rows, rows[1:]))
