@@ -159,11 +159,13 @@ def evidence(text: str, frequencies: Frequencies, rare: float) -> list[float] |
     counts as untouched by it. With n stretches and chains tried, one gains log(n) by chance, which is
     taken off each. The last value is the evidence of characters that are lost for good.
     """
+    common = _ODD.search(text) is None and _TWICE_LOST[0] not in text
+    if common and _rarest(text, frequencies) >= rare + 0.01:
+        return None
     parts = _stretches(text)
     toll = math.log(max(1, len(parts)) * len(_NAMES))
-    if _ODD.search(text) is None and _TWICE_LOST[0] not in text:
-        # characters of the wrong code may all be common letters of the right one: look at rarity
-        parts = [x for x in parts if _mean(x, frequencies) < rare]
+    # characters of the wrong code may all be common letters of the right one: look at rarity
+    parts = [x for x in parts if (not common and (_ODD.search(x) or _TWICE_LOST[0] in x)) or _mean(x, frequencies) < rare]
     if not parts:
         return None
     gains = [0.0] * (len(_NAMES) + 1)
@@ -181,6 +183,22 @@ def evidence(text: str, frequencies: Frequencies, rare: float) -> list[float] |
     return gains if any(gains) else None
 
 
+_MARKS = np.zeros(0x110000, bool)
+_MARKS[[ord(c) for c in "\n。，！？；"]] = True
+
+
+def _rarest(text: str, frequencies: Frequencies) -> float:
+    """The least mean log-probability of a stretch's characters beyond ASCII, of all stretches at once."""
+    a = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    cut = _MARKS[a]
+    start = np.r_[0, np.flatnonzero(cut) + 1]
+    start = start[start < len(a)]
+    beyond = (a > 127) & ~cut
+    n = np.add.reduceat(beyond.astype(np.int32), start)
+    score = np.add.reduceat(np.where(beyond, frequencies.table[a], 0.0), start)
+    return float((score[n > 0] / n[n > 0]).min()) if (n > 0).any() else 0.0
+
+
 def _mean(part: str, frequencies: Frequencies) -> float:
     a = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
     a = a[a > 127]
