@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
@@ -293,9 +292,6 @@ def classify_link(url: Column) -> Column:
     return F.when(url.rlike("(?i)\\.(" + "|".join(ATTACHMENT_EXTENSIONS) + ")$"), "attachment").otherwise("page")
 
 
-_BANNER = re.compile(r"(<body[^>]*>)", re.IGNORECASE)
-
-
 def with_banner(page: Column, banner: str) -> Column:
     """The banner after the first <body> tag, else before the page."""
     put = banner.replace("\\", "\\\\").replace("$", "\\$")

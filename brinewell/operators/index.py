@@ -92,9 +92,10 @@ def write_index(index: Index, path: str, mode: str = "errorifexists") -> None:
     stored.select("field", "doc_id", "dl").distinct().write.mode(mode).parquet(f"{path}/lengths")
     lengths = spark.read.parquet(f"{path}/lengths")
     lengths.groupBy("field").agg(F.count("*").alias("doc_count"), F.sum("dl").alias("sum_dl")).write.mode(mode).parquet(f"{path}/stats")
-    stored.groupBy("term", "field").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
     if index.docs is not None:
         index.docs.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.mode(mode).parquet(f"{path}/docs")
+    # the last table: an index is there once it is
+    stored.groupBy("term", "field").agg(F.count("*").alias("df")).repartitionByRange("term").sortWithinPartitions("term").write.mode(mode).parquet(f"{path}/terms")
 
 
 def index_exists(spark: SparkSession, path: str) -> bool:

@@ -11,7 +11,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brinewell.functions.text import join_anchors
-from brinewell.functions.urls import normalize_url
 from brinewell.operators.index import Index, build_index, index_exists, read_index, write_index
 from brinewell.operators.search import DOCUMENT_BOOSTS, PAGE_BOOSTS
 from brinewell.session import load, shared_dir

@@ -512,6 +512,12 @@ def ingest_first_lines(spark, d):
     return ingest.decide(first, load(spark, d, "pages").select("normalized_url", "content_hash")).select("line_no", "action")
 
 
+@query
+def ingest_reindexed(spark, d):
+    decided = ingest.decide(recrawl(spark, d), load(spark, d, "pages").select("normalized_url", "content_hash"))
+    return ingest.reindexed(decided).groupBy("normalized_url").agg(F.max("line_no").alias("last_line"))
+
+
 @query
 def ingest_dry_run(spark, d):
     return ingest.dry_run(load(spark, d, "page_items"))

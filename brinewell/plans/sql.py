@@ -315,6 +315,7 @@ SELECT coalesce(p.normalized_url, l.normalized_url) AS normalized_url, CASE WHEN
 FROM pages p FULL JOIN last l ON l.normalized_url = p.normalized_url""",
     "ingest_new_ids": f"""WITH {_DECIDE.format(force='false')}, new AS (SELECT normalized_url, min(line_no) AS first_line FROM decided WHERE action = 'insert' GROUP BY 1)
 SELECT (SELECT max(id) FROM pages) + row_number() OVER (ORDER BY first_line) AS id, normalized_url, first_line FROM new""",
+    "ingest_reindexed": f"WITH {_DECIDE.format(force='false')} SELECT normalized_url, max(line_no) AS last_line FROM decided WHERE action IN ('insert', 'update') GROUP BY 1",
     "ingest_dry_run": "SELECT CASE WHEN normalized_url IS NULL OR trim(normalized_url) = '' THEN 'fail' ELSE 'insert' END AS action, count(*) AS cnt FROM page_items GROUP BY 1",
     "dedupe_content": "SELECT sha256(content) AS hash, count(*) AS cnt, min(item_id) AS first_id FROM page_items WHERE content <> '' GROUP BY 1 HAVING count(*) > 1",
     "attachment_states": f"WITH {_STATES} SELECT * FROM states",
@@ -338,6 +339,12 @@ SELECT * FROM s0 UNION ALL SELECT * FROM s1 UNION ALL SELECT * FROM s2""",
     "sites_of_urls": f"WITH {_SITES}, d AS (SELECT site, unnest(domains) AS d FROM sites) SELECT id, (SELECT min(site) FROM d WHERE contains(lower({_host('url')}), d)) AS site FROM pages",
     "parsed_pages": rf"""SELECT item_id, coalesce({_TITLE.format(tag='title').replace(chr(92) + 's+', _WHITE)}, {_TITLE.format(tag='h1').replace(chr(92) + 's+', _WHITE)}, '') AS title, coalesce(len(regexp_extract_all(raw_html, '(?is)<a\s[^<>]*?href=[^<>]*>')), 0) AS links,
   coalesce(strftime(try_strptime(regexp_extract(raw_html, '(?i)<meta name="pubdate" content="([^"]*)"', 1), '%Y-%m-%dT%H:%M:%S'), '%Y-%m-%d %H:%M'), {_scan(f"substr({_TEXT}, 1, 8192)", '%Y-%m-%d %H:%M')}) AS published FROM page_items""",
+    "crawled_items": rf"""WITH {_SITES}, d AS (SELECT site, category, unnest(domains) AS d FROM sites),
+t AS (SELECT *, substr(sha256(url), 1, 16) AS s FROM page_items WHERE item_id % 9 <> 0 AND length(regexp_replace({_TEXT}, '\s+', '', 'g')) >= 50)
+SELECT url, {_norm('url')} AS normalized_url, coalesce({_TITLE.format(tag='h1').replace(chr(92) + 's+', _WHITE)}, {_TITLE.format(tag='title').replace(chr(92) + 's+', _WHITE)}, '') AS title,
+  coalesce((SELECT min(site) FROM d WHERE contains(lower({_host('url')}), d)), '') AS source_site, coalesce((SELECT min_by(category, site) FROM d WHERE contains(lower({_host('url')}), d)), '') AS category,
+  '{AS_OF.isoformat()}' AS crawl_time, 'snapshots/' || substr(s, 1, 2) || '/' || substr(s, 3, 2) || '/' || s || '.html' AS snapshot_path, status_code,
+  len(regexp_extract_all(raw_html, '(?is)<a\s[^<>]*?href=[^<>]*>')) AS anchors, len(regexp_extract_all(raw_html, '(?is)<a\s[^<>]*?href="[^"#?]*\.(pdf|doc|docx|xls|xlsx|ppt|pptx|zip|rar)"[^<>]*>')) AS attachments FROM t""",
     "scanned_dates": f"SELECT item_id, {_scan('content', '%Y-%m-%d %H:%M:%S')} AS any, {_scan('content', '%Y-%m-%d %H:%M:%S', (1, 2, 5, 6))} AS crawl FROM page_items",
     "recent_with_total": "WITH t AS (SELECT DISTINCT * FROM query_logs) SELECT id, query_text, query_type, result_count, created_at, (SELECT count(*) FROM t) AS total FROM t ORDER BY created_at DESC, id DESC LIMIT 10",
     "items_roundtrip": "SELECT url, title, length(content) AS chars, content_hash, len(out_links) AS links, publish_time, status_code, 15 AS keys, 'item' AS kind FROM page_items",
