@@ -85,9 +85,10 @@ def write_index(index: Index, path: str, mode: str = "errorifexists") -> None:
 
     Postings lie by term and document: a term that most documents hold fills several files.
     """
-    index.postings.repartitionByRange("term", "doc_id").sortWithinPartitions("term", "field", "doc_id").write.mode(mode).parquet(f"{path}/postings")
+    # finding the ranges reads its input once more: the documents are tokenized once, into a table
+    cut_lineage(index.postings).repartitionByRange("term", "doc_id").sortWithinPartitions("term", "field", "doc_id").write.mode(mode).parquet(f"{path}/postings")
     spark = index.postings.sparkSession
-    # statistics follow from what was stored, the documents are tokenized once
+    # statistics follow from what was stored
     stored = spark.read.parquet(f"{path}/postings")
     stored.select("field", "doc_id", "dl").distinct().write.mode(mode).parquet(f"{path}/lengths")
     lengths = spark.read.parquet(f"{path}/lengths")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from brinewell.functions.text import join_anchors
 from brinewell.operators.index import Index, build_index, index_exists, read_index, write_index
 from brinewell.operators.search import DOCUMENT_BOOSTS, PAGE_BOOSTS
-from brinewell.session import load, shared_dir
+from brinewell.session import cut_lineage, load, shared_dir
 
 #: The time that stands for now.
 AS_OF = datetime(2025, 12, 31, 12, 0, 0)
@@ -66,6 +66,7 @@ def _stored(spark: SparkSession, d: str, kind: str, docs: Callable[[], tuple[Dat
     path = f"{shared_dir(spark).rstrip('/')}/index-{hashlib.sha256(whole.encode()).hexdigest()[:16]}/{kind}"
     if not index_exists(spark, path):
         frame, id_col, fields = docs()
+        frame = cut_lineage(frame)  # read for the postings and for the stored fields
         write_index(build_index(frame, id_col, fields, [c for c in frame.columns if c != id_col]), path, "overwrite")
     return read_index(spark, path)
 
